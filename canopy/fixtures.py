@@ -69,6 +69,24 @@ def doc_tree(spark: SparkSession, d: str) -> DataFrame:
     return roots.unionByName(kids).withColumn("first_label", F.col("final_label"))
 
 
+def chunk_log(spark: SparkSession, d: str) -> DataFrame:
+    """One chunk per (language, source); progress derived from how many of its pages have vectors:
+    any vector -> downloaded, more than half -> unpacked."""
+    pv = page_vector(spark, d).select("page_id", F.col("embedding").isNotNull().alias("emb"))
+    pl = page_log(spark, d).select("namespace", "chunk_name", "page_id")
+    per = pl.join(pv, "page_id").groupBy("namespace", "chunk_name").agg(
+        F.count("*").alias("n"), F.count_if("emb").alias("n_emb"), F.min("page_id").alias("first_page"))
+    down = F.col("n_emb") > 0
+    unp = F.col("n_emb") * 2 > F.col("n")
+    stamp = F.to_timestamp_ntz(F.lit("2025-10-01 00:00:00")) + F.make_dt_interval(secs=F.col("first_page"))
+    return per.select(
+        "namespace", "chunk_name",
+        F.when(down, F.concat(F.lit("/archive/"), "chunk_name", F.lit(".tar.gz"))).alias("chunk_archive_path"),
+        F.when(unp, F.concat(F.lit("/extracted/"), "chunk_name", F.lit(".ndjson"))).alias("chunk_extracted_path"),
+        F.when(down, stamp).alias("downloaded_at"),
+        F.when(unp, stamp + F.expr("INTERVAL 1 HOUR")).alias("unpacked_at"))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     # distinct segments are few; a global rank over them is a one-task job on a tiny input
     seg = tables.read(spark, d, "customer").select("c_mktsegment").distinct()
@@ -152,6 +170,14 @@ FROM documents""",
        CAST(2 + CAST(substring(d.source, 4) AS INT) AS BIGINT) AS cluster_node_id
 FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     "languages": lang.languages_sql(),
+    "chunk_log": """SELECT namespace, chunk_name,
+       CASE WHEN n_emb > 0 THEN concat('/archive/', chunk_name, '.tar.gz') END AS chunk_archive_path,
+       CASE WHEN n_emb * 2 > n THEN concat('/extracted/', chunk_name, '.ndjson') END AS chunk_extracted_path,
+       CASE WHEN n_emb > 0 THEN TIMESTAMP '2025-10-01 00:00:00' + to_seconds(first_page) END AS downloaded_at,
+       CASE WHEN n_emb * 2 > n THEN TIMESTAMP '2025-10-01 00:00:00' + to_seconds(first_page) + INTERVAL 1 HOUR END
+         AS unpacked_at
+FROM (SELECT pl.namespace, pl.chunk_name, count(*) AS n, count(pv.embedding) AS n_emb, min(pl.page_id) AS first_page
+      FROM page_log pl JOIN page_vector pv ON pv.page_id = pl.page_id GROUP BY pl.namespace, pl.chunk_name) x""",
     "doc_leaf": f"""SELECT DISTINCT concat(lang, '{NS_SUFFIX}') AS namespace, CAST(substring(source, 4) AS INT) AS src
 FROM documents""",
     "doc_tree": """SELECT r.namespace, CAST(1 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS depth,
@@ -191,13 +217,15 @@ FROM events""",
 
 # dependency order for CTE emission
 _DEPS = {
+    "chunk_log": ["page_log", "page_vector"],
     "doc_tree": ["languages", "doc_leaf"],
     "geo_page": ["seg"],
     "geo_tree": ["seg"],
 }
 
 
-def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = None,
+               recursive: bool = False) -> str:
     """Prefix ``body`` with CTEs for the named views (and their dependencies)."""
     order: list[str] = []
 
@@ -213,11 +241,11 @@ def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = Non
     ctes += [f"{n} AS (\n{q}\n)" for n, q in (extra or [])]
     if not ctes:
         return body
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
 
 
 BUILDERS = {
-    "page_log": page_log, "page_vector": page_vector, "doc_tree": doc_tree, "geo_page": geo_page,
+    "page_log": page_log, "page_vector": page_vector, "chunk_log": chunk_log, "doc_tree": doc_tree, "geo_page": geo_page,
     "geo_tree": geo_tree, "emb_page": emb_page, "emb_tree": emb_tree, "emb_flat": emb_flat, "articles": articles,
 }
 

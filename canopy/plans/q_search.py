@@ -34,7 +34,7 @@ FR = "frwiki_namespace_0"
 Q_TERM = S.parse_query("the and", "en")
 Q_PREFIX = S.parse_query("le ou", "fr")
 Q_PHRASE = S.parse_query('"of the"', "en")
-Q_BOOL = S.Not(S.Or([S.Phrase(["rewh"]), S.Phrase(["orantion"])]), S.Phrase(["an"]))
+Q_BOOL = S.Not(S.Or([S.Phrase(["rewh"]), S.Phrase(["orantion"])]), S.Phrase(["hehely"]))
 Q_TOP = S.parse_query("the", "en")
 Q_GEO = S.parse_query("nation_1 buil", None)
 Q_CROSS = S.parse_query('"source 1"', "en")
