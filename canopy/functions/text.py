@@ -67,8 +67,9 @@ def halve_to_fit(text: Column | str, max_chars: int) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     n = F.length(t)
     k = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(62)),
-                             lambda s: F.shiftright(n, s) <= max_chars))
-    return F.when(n <= max_chars, t).otherwise(t.substr(F.lit(1), F.shiftright(n, k)))
+                             lambda s: F.floor(n / F.pow(F.lit(2), s)) <= max_chars))
+    return F.when(n <= max_chars, t).otherwise(
+        t.substr(F.lit(1), F.floor(n / F.pow(F.lit(2), k)).cast("int")))
 
 
 def snippet(title: Column | str, abstract: Column | str) -> Column:
