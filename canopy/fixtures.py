@@ -52,6 +52,16 @@ def page_vector(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def page_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A change batch of pages parsed from raw HTML (``pages`` table), page_log-shaped."""
+    p = tables.read(spark, d, "pages")
+    lng = F.regexp_extract("html", r'<html lang="([a-z]+)"', 1)
+    return p.select(F.concat(lng, F.lit(NS_SUFFIX)).alias("namespace"), "page_id",
+                    F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("title"),
+                    F.concat(lng, F.lit(NS_SUFFIX + "_chunk_pages")).alias("chunk_name"), "url",
+                    F.regexp_extract("html", r"<p>([^<]*)</p>", 1).alias("abstract"))
+
+
 def doc_tree(spark: SparkSession, d: str) -> DataFrame:
     doc = tables.read(spark, d, "documents").select(
         F.concat("lang", F.lit(NS_SUFFIX)).alias("namespace"), _src_no().alias("src"))
@@ -170,6 +180,11 @@ FROM documents""",
        CAST(2 + CAST(substring(d.source, 4) AS INT) AS BIGINT) AS cluster_node_id
 FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     "languages": lang.languages_sql(),
+    "page_batch": f"""SELECT concat(regexp_extract(html, '<html lang="([a-z]+)"', 1), '{NS_SUFFIX}') AS namespace,
+       page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+       concat(regexp_extract(html, '<html lang="([a-z]+)"', 1), '{NS_SUFFIX}_chunk_pages') AS chunk_name, url,
+       regexp_extract(html, '<p>([^<]*)</p>', 1) AS abstract
+FROM pages""",
     "chunk_log": """SELECT namespace, chunk_name,
        CASE WHEN n_emb > 0 THEN concat('/archive/', chunk_name, '.tar.gz') END AS chunk_archive_path,
        CASE WHEN n_emb * 2 > n THEN concat('/extracted/', chunk_name, '.ndjson') END AS chunk_extracted_path,
@@ -245,7 +260,7 @@ def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = Non
 
 
 BUILDERS = {
-    "page_log": page_log, "page_vector": page_vector, "chunk_log": chunk_log, "doc_tree": doc_tree, "geo_page": geo_page,
+    "page_log": page_log, "page_vector": page_vector, "chunk_log": chunk_log, "page_batch": page_batch, "doc_tree": doc_tree, "geo_page": geo_page,
     "geo_tree": geo_tree, "emb_page": emb_page, "emb_tree": emb_tree, "emb_flat": emb_flat, "articles": articles,
 }
 

@@ -95,9 +95,11 @@ def embed_text(spark, d):
 
 
 @register("embed_text_truncated", fx.with_views("""SELECT namespace, page_id,
-  CASE WHEN length(t) <= 2000 THEN t ELSE substring(t, 1, CAST(length(t) // (2 ** ceil(log2(length(t) / 2000.0)))
-       AS BIGINT)) END AS text
-FROM (SELECT namespace, page_id, concat(title, chr(10), coalesce(abstract, 'None')) AS t FROM page_log)""", "page_log"))
+  CASE WHEN length(t) <= 2000 THEN t ELSE substring(t, 1, CAST(floor(length(t) / pow(2, k)) AS BIGINT)) END AS text
+FROM (SELECT namespace, page_id, t,
+        list_min(list_filter(range(0, 63), lambda s: floor(length(t) / pow(2, s)) <= 2000)) AS k
+      FROM (SELECT namespace, page_id, concat(title, chr(10), coalesce(abstract, 'None')) AS t FROM page_log))""",
+                                                "page_log"))
 def embed_text_truncated(spark, d):
     """H2: halve the input until it fits 2000 characters."""
     return E.input_text(fx.page_log(spark, d), max_chars=2000)
