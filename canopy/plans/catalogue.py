@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopy.plans import q_lookup, q_ml, q_search, q_state, q_tree, q_vectors  # noqa: F401
+from canopy.plans import q_lookup, q_ml, q_search, q_state, q_topics, q_tree, q_vectors  # noqa: F401
 from canopy.plans.registry import REGISTRY
 
 
