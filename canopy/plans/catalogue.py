@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from canopy.plans import q_lookup, q_ml, q_search, q_state, q_topics, q_tree, q_vectors  # noqa: F401
+from canopy.plans import (  # noqa: F401
+    q_lookup, q_misc, q_ml, q_search, q_sources, q_state, q_stream, q_topics, q_tree, q_vectors)
 from canopy.plans.registry import REGISTRY
 
 
