@@ -288,7 +288,7 @@ def _finish(pts: DataFrame, levels: list[DataFrame], spark) -> tuple[DataFrame,
             "silhouette", F.lit(None).cast("double"))
     nodes = cut_lineage(nodes)
     # pre-order ids: reuse the tree operator with array keys (siblings ordered by ordinal)
-    shaped = nodes.select(NS, F.col("path").alias("node_id"), F.col("parent").alias("parent_id"))
+    shaped = nodes.select(NS, F.col("path").alias("node_id"), F.col("parent").alias("parent_id"), "depth")
     pre = T.preorder_ids(shaped).select(NS, F.col("node_id").alias("path"), F.col("preorder_id").alias("node_id"))
     pre = cut_lineage(pre)
     ids = pre.select(NS, "path", "node_id")

@@ -113,6 +113,22 @@ class SearchIndex:
             df.persist()
         return self
 
+    def materialize(self, root: str) -> "SearchIndex":
+        """Write the index once and serve searches from the files.
+
+        Postings are range-partitioned on (namespace, term) and sorted by term inside
+        each file, then laid out by namespace: a term lookup prunes the namespace
+        folders and, through the Parquet min/max statistics, most files and row groups.
+        """
+        spark = self.postings.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (self.postings.repartitionByRange(n, "namespace", "term").sortWithinPartitions("term", "node_id", "pos")
+         .write.mode("overwrite").partitionBy("namespace").parquet(f"{root}/postings"))
+        self.docs.write.mode("overwrite").parquet(f"{root}/docs")
+        self.stats.write.mode("overwrite").parquet(f"{root}/stats")
+        return SearchIndex(spark.read.parquet(f"{root}/docs"), spark.read.parquet(f"{root}/postings"),
+                           spark.read.parquet(f"{root}/stats"), {"root": root})
+
 
 def _ntok(c):
     return F.coalesce(F.size(c), F.lit(0))

@@ -20,18 +20,25 @@ MAX_LEVELS = 64
 
 
 def paths(tree: DataFrame, checkpoint_every: int = 4) -> DataFrame:
-    """(namespace, node_id, path) with ``path`` = node ids root..self, for nodes reachable from a root."""
+    """(namespace, node_id, path) with ``path`` = node ids root..self, for nodes reachable from a root.
+
+    One join per level.  The stored depth bounds the loop (one small aggregate);
+    a final emptiness probe continues past it if the stored depths are inconsistent.
+    """
     edges = tree.where(F.col("parent_id").isNotNull()).select("namespace", "node_id", "parent_id")
     cur = tree.where(F.col("parent_id").isNull()).select(*KEY, F.array("node_id").alias("path"))
     acc = cur
-    for level in range(1, MAX_LEVELS):
+    bound = tree.agg(F.max("depth")).first()[0] or 0
+    level = 0
+    while level < MAX_LEVELS:
+        level += 1
         nxt = (edges.join(cur.select("namespace", F.col("node_id").alias("parent_id"), F.col("path").alias("pp")),
                           ["namespace", "parent_id"])
                .select(*KEY, F.concat("pp", F.array("node_id")).alias("path")))
         if level % checkpoint_every == 0:
             nxt = cut_lineage(nxt)
             acc = cut_lineage(acc)
-        if nxt.isEmpty():
+        if level > bound and nxt.isEmpty():
             break
         acc = acc.unionByName(nxt)
         cur = nxt
