@@ -27,10 +27,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.operators import tree as T
 from canopy.operators import vectors as Vx
 from canopy.session import cut_lineage
 
@@ -47,7 +46,6 @@ class ClusterParams:
     tol: float = 1e-4          # relative to the mean per-feature variance of the node's points
     seed: int = 42
     sample_factor: int = 20
-    checkpoint_every: int = 5
     local_cap: int = 20000     # nodes up to this many pages are clustered inside one task
 
 
@@ -92,10 +90,15 @@ def seed_centres(points: DataFrame, nodes: DataFrame, params: ClusterParams) ->
 
 # --- nodes that fit one task: k-means + silhouette in numpy ------------------------------
 
+def _sqdist_np(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """n x k squared distances without an n x k x d temporary."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :], 0.0)
+
+
 def _lloyd_np(x: np.ndarray, c: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     lab = np.zeros(len(x), dtype=np.int64)
     for _ in range(max_iter):
-        d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+        d2 = _sqdist_np(x, c)
         lab = d2.argmin(axis=1)
         new = c.copy()
         for j in range(len(c)):
@@ -106,8 +109,7 @@ def _lloyd_np(x: np.ndarray, c: np.ndarray, max_iter: int, tol: float) -> tuple[
         c = new
         if shift <= tol:
             break
-    d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-    return c, d2.argmin(axis=1)
+    return c, _sqdist_np(x, c).argmin(axis=1)
 
 
 def silhouette_np(x: np.ndarray, lab: np.ndarray) -> float:
@@ -175,24 +177,16 @@ def lloyd(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int, params:
         Vx.Summarizer.variance(F.col("v")).alias("var")).first()["var"]
     tol_abs = params.tol * (float(sum(var.toArray())) / max(len(var.toArray()), 1) if var is not None else 0.0)
     it = 0
-    held: list[DataFrame] = []
     for it in range(1, params.max_iter + 1):
         asg = _assign(points, centres, n_nodes, dim)
         moved = Vx.lloyd_update(asg, keys, "x", "cid").select(*keys, "cid", "vec")
         kept = centres.join(moved.select(*keys, "cid"), [*keys, "cid"], "left_anti")
-        new = moved.unionByName(kept)
-        if it % params.checkpoint_every == 0:
-            new = cut_lineage(new)
-        else:
-            new = new.persist()
-            held.append(new)
+        # the centre table is small (k rows per splitting node): checkpoint it every step so the
+        # plan never nests previous iterations (each step reads the old centres twice)
+        new = cut_lineage(moved.unionByName(kept))
         shift = (new.alias("n").join(centres.alias("o"), [*keys, "cid"])
                  .agg(F.max(Vx.sqdist(F.col("n.vec"), F.col("o.vec"))).alias("s")).first()["s"] or 0.0)
         centres = new
-        if it % params.checkpoint_every == 0:
-            for h in held:
-                h.unpersist()
-            held = []
         if shift <= tol_abs:
             break
     return centres, _assign(points, centres, n_nodes, dim), it
@@ -234,15 +228,15 @@ def build_tree(pages: DataFrame, params: ClusterParams = ClusterParams(), vec: s
         cand = (counts.where(F.col("n") > params.leaf_target)
                 .withColumn("k", F.least(F.lit(params.max_k), F.ceil(F.col("n") / params.leaf_target)).cast("int"))
                 .where(F.col("k") > 1))
-        cand = cut_lineage(cand)
-        n_nodes = cand.count()
+        cand = cand.persist()
+        tally = cand.agg(F.count("*").alias("n"), F.count_if(F.col("n") > params.local_cap).alias("big")).first()
+        n_nodes, n_large = tally["n"], tally["big"]
         if n_nodes == 0:
             break
         small = cand.where(F.col("n") <= params.local_cap)
         large = cand.where(F.col("n") > params.local_cap)
-        n_large = large.count()
         loc = local_kmeans(pts.join(small.select(NS, "path"), [NS, "path"], "left_semi"), small, params)
-        loc = cut_lineage(loc)
+        loc = loc.persist()
         asg = loc.select(NS, "path", "page_id", "x", "cid")
         info = loc.where(F.col("centroid").isNotNull()).select(NS, "path", "silhouette", "centroid")
         if n_large:
@@ -262,13 +256,16 @@ def build_tree(pages: DataFrame, params: ClusterParams = ClusterParams(), vec: s
                  .withColumn("accepted", (F.col("n_nonempty") >= 2)
                              & (F.coalesce("silhouette", F.lit(-2.0)) >= params.min_silhouette))
                  .select(NS, "path", "centroid", "silhouette", "accepted"))
-        level = cut_lineage(level)
         levels.append(level)
         acc = level.where("accepted").select(NS, "path")
         moved = asg.join(acc, [NS, "path"], "left_semi").select(
             NS, "page_id", "x", F.concat("path", F.array("cid")).alias("path"))
         stay = pts.join(acc, [NS, "path"], "left_anti")
-        pts = cut_lineage(stay.unionByName(moved))
+        new_pts = cut_lineage(stay.unionByName(moved))
+        levels[-1] = cut_lineage(level)
+        for held in (cand, loc):
+            held.unpersist()
+        pts = new_pts
     return _finish(pts, levels, pages.sparkSession)
 
 
@@ -287,15 +284,10 @@ def _finish(pts: DataFrame, levels: list[DataFrame], spark) -> tuple[DataFrame,
         nodes = nodes.withColumn("centroid", F.lit(None).cast("array<double>")).withColumn(
             "silhouette", F.lit(None).cast("double"))
     nodes = cut_lineage(nodes)
-    # pre-order ids: reuse the tree operator with array keys (siblings ordered by ordinal)
-    shaped = nodes.select(NS, F.col("path").alias("node_id"), F.col("parent").alias("parent_id"), "depth")
-    pre = T.preorder_ids(shaped).select(NS, F.col("node_id").alias("path"), F.col("preorder_id").alias("node_id"))
-    pre = cut_lineage(pre)
-    ids = pre.select(NS, "path", "node_id")
+    ids = cut_lineage(preorder_from_paths(nodes.select(NS, "path")))
     pid = ids.select(NS, F.col("path").alias("parent"), F.col("node_id").alias("parent_id"))
     # subtree statistics: pages contribute to every prefix of their path
-    anc = pts.select(NS, "page_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")),
-                                                          lambda i: F.slice("path", 1, i))).alias("path"))
+    anc = pts.select(NS, "page_id", F.explode(_prefixes(F.col("path"))).alias("path"))
     docs = anc.groupBy(NS, "path").agg(F.count("*").alias("doc_count"))
     from canopy.operators.windows import first_n_per_group
     samples = (first_n_per_group(anc, [NS, "path"], ["page_id"], 10)
@@ -316,6 +308,29 @@ def _finish(pts: DataFrame, levels: list[DataFrame], spark) -> tuple[DataFrame,
     return out, assignment
 
 
+def _prefixes(path):
+    return F.transform(F.sequence(F.lit(0), F.size(path)), lambda i: F.slice(path, 1, i))
+
+
+def preorder_from_paths(nodes: DataFrame) -> DataFrame:
+    """Depth-first pre-order ids (root = 1) for nodes keyed by ordinal paths.
+
+    pre(n) = 1 + sum over non-root prefixes a of n's path of (1 + sizes of a's earlier siblings);
+    subtree sizes come from exploding every node's prefixes — no per-level loop, no global sort.
+    """
+    anc = nodes.select(NS, "path", F.explode(_prefixes(F.col("path"))).alias("anc"))
+    size = anc.groupBy(NS, F.col("anc").alias("path")).agg(F.count("*").alias("sz"))
+    w = (Window.partitionBy(NS, "parent").orderBy("last")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    contrib = (size.where(F.size("path") > 0)
+               .withColumn("parent", F.slice("path", 1, F.size("path") - 1))
+               .withColumn("last", F.element_at("path", -1))
+               .select(NS, F.col("path").alias("anc"),
+                       (F.lit(1) + F.coalesce(F.sum("sz").over(w), F.lit(0))).alias("c")))
+    pre = anc.join(contrib, [NS, "anc"], "left").groupBy(NS, "path").agg(F.sum(F.coalesce("c", F.lit(0))).alias("s"))
+    return pre.select(NS, "path", (F.lit(1) + F.col("s")).cast("bigint").alias("node_id"))
+
+
 def nodes_processed(nodes: DataFrame) -> DataFrame:
     """The count the reference's command reports: T(leaf) = 1, T(inner) = sum over children of (1 + T(child)).
 
