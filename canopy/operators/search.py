@@ -122,12 +122,20 @@ class SearchIndex:
         """
         spark = self.postings.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (self.postings.repartitionByRange(n, "namespace", "term").sortWithinPartitions("term", "node_id", "pos")
-         .write.mode("overwrite").partitionBy("namespace").parquet(f"{root}/postings"))
-        self.docs.write.mode("overwrite").parquet(f"{root}/docs")
-        self.stats.write.mode("overwrite").parquet(f"{root}/stats")
-        return SearchIndex(spark.read.parquet(f"{root}/docs"), spark.read.parquet(f"{root}/postings"),
-                           spark.read.parquet(f"{root}/stats"), {"root": root})
+        shared = self.extra.get("pages")
+        if shared is not None:          # tokenised pages feed both postings and docs: compute once
+            shared.persist()
+        try:
+            (self.postings.repartitionByRange(n, "namespace", "term").sortWithinPartitions("term", "node_id", "pos")
+             .write.mode("overwrite").partitionBy("namespace").parquet(f"{root}/postings"))
+            self.docs.write.mode("overwrite").parquet(f"{root}/docs")
+        finally:
+            if shared is not None:
+                shared.unpersist()
+        docs = spark.read.parquet(f"{root}/docs")
+        doc_stats(docs).write.mode("overwrite").parquet(f"{root}/stats")
+        return SearchIndex(docs, spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/stats"),
+                           {"root": root})
 
 
 def _ntok(c):
@@ -178,8 +186,12 @@ def build_index(tree: DataFrame, page_vector: DataFrame, page_log: DataFrame) ->
             .select(*KEY, "final_label", "depth", "parent_id",
                     F.coalesce("pc", F.lit(0)).alias("page_count"),
                     (_ntok(tokens("final_label")) + F.coalesce("tl", F.lit(0))).alias("doc_len")))
-    stats = docs.groupBy("namespace").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    return SearchIndex(docs, postings, stats)
+    return SearchIndex(docs, postings, doc_stats(docs), {"pages": pages})
+
+
+def doc_stats(docs: DataFrame) -> DataFrame:
+    """Per namespace: number of search documents and their mean token length."""
+    return docs.groupBy("namespace").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
 # ---------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from canopy.operators import lookup as L
 from canopy.operators import pca as P
 from canopy.operators import projection as Pr
 from canopy.operators import vectors as Vx
+from canopy.plans import artifacts
 from canopy.plans.registry import register
 
 PARAMS = C.ClusterParams(leaf_target=20, max_k=8, max_depth=10, min_silhouette=-1.0)
@@ -25,14 +26,34 @@ def emb_vectors(spark, d):
     return fx.emb_page(spark, d).select("namespace", "page_id", "embedding")
 
 
-def reduced(spark, d):
+def _reduce(spark, d):
     return P.reduce_namespace(emb_vectors(spark, d), TARGET_DIM, "embedding", "reduced")
 
 
+def reduced(spark, d):
+    """Reduced vectors as a pipeline artifact (written once, read by later stages)."""
+    return artifacts.table(spark, d, "reduced", lambda: _reduce(spark, d))
+
+
+def tree(spark, d):
+    """(nodes, assignment) of the full tree as pipeline artifacts."""
+    def build():
+        return C.build_tree(reduced(spark, d), PARAMS)
+    built = {}
+
+    def part(i):
+        if not built:
+            built["v"] = build()
+        return built["v"][i]
+    nodes = artifacts.table(spark, d, "tree_nodes", lambda: part(0))
+    asg = artifacts.table(spark, d, "tree_assignment", lambda: part(1))
+    return nodes, asg
+
+
 @register("pca_reduce")
 def pca_reduce(spark, d):
     """Every embedding reduced to 16 dims (centred PCA, fixed signs)."""
-    return reduced(spark, d).select("namespace", "page_id", "reduced")
+    return _reduce(spark, d).select("namespace", "page_id", "reduced")
 
 
 @register("kmeans_level")
@@ -47,14 +68,15 @@ def kmeans_level(spark, d):
 @register("cluster_tree")
 def cluster_tree(spark, d):
     """Full level-synchronous tree; node ids in pre-order."""
-    nodes, _ = C.build_tree(reduced(spark, d), PARAMS)
+    nodes, _ = tree(spark, d)
     return nodes.select("namespace", "node_id", "parent_id", "depth", "doc_count", "child_count",
                         "sample_doc_ids", F.round("silhouette", 6).alias("silhouette"))
 
 
 @register("cluster_assignment")
 def cluster_assignment(spark, d):
-    _, asg = C.build_tree(reduced(spark, d), PARAMS)
+    """Every page's leaf."""
+    _, asg = tree(spark, d)
     return asg
 
 
@@ -62,7 +84,7 @@ def cluster_assignment(spark, d):
 def page_projection(spark, d):
     """Per-leaf 3-D PCA of the pages' reduced vectors."""
     red = reduced(spark, d)
-    _, asg = C.build_tree(red, PARAMS)
+    _, asg = tree(spark, d)
     pv = red.join(asg, ["namespace", "page_id"])
     return Pr.page_projection(pv, "reduced").select("namespace", "node_id", "page_id", "three_d")
 

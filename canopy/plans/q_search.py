@@ -5,18 +5,24 @@ from __future__ import annotations
 from canopy import fixtures as fx
 from canopy.operators import search as S
 from canopy.plans.oracle_search import search_docs_sql, search_sql
+from canopy.plans import artifacts
 from canopy.plans.registry import register
 from canopy.sources.scratch import scratch_dir
 
 
 def _doc_index(spark, d):
-    idx = S.build_index(fx.doc_tree(spark, d), fx.page_vector(spark, d), fx.page_log(spark, d))
-    return idx.materialize(scratch_dir(spark, "search-index"))
+    """The document-tree search index, written once per application and input folder."""
+    def build():
+        idx = S.build_index(fx.doc_tree(spark, d), fx.page_vector(spark, d), fx.page_log(spark, d))
+        return idx.materialize(scratch_dir(spark, "search-index"))
+    return artifacts.value(spark, d, "doc_search_index", build)
 
 
 def _geo_index(spark, d):
-    pv = fx.geo_page(spark, d)
-    return S.build_index(fx.geo_tree(spark, d), pv, pv).materialize(scratch_dir(spark, "search-index"))
+    def build():
+        pv = fx.geo_page(spark, d)
+        return S.build_index(fx.geo_tree(spark, d), pv, pv).materialize(scratch_dir(spark, "search-index"))
+    return artifacts.value(spark, d, "geo_search_index", build)
 
 
 def _doc_sql(expr, ns, limit):
