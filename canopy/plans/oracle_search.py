@@ -73,14 +73,15 @@ def _set_sql(expr, idx: dict[int, int]) -> str:
 
 
 def search_sql(expr, namespace: str | None, limit: int | None, tree: str, pv: str, pl: str,
-               views_prefix) -> str:
+               views_prefix, detect_match_type: bool = False) -> str:
     ns_pred = f"$.namespace = {q(namespace)}" if namespace is not None else "TRUE"
     phrases = phrases_of(expr)
     idx = {id(p): i for i, p in enumerate(phrases)}
     extra = index_ctes(tree, pv, pl)
     extra += [(f"s_h{i}", phrase_sql(p, ns_pred)) for i, p in enumerate(phrases)]
     extra.append(("s_pp", " UNION ALL ".join(
-        f"SELECT namespace, node_id, {i} AS i, sum(hits) AS f FROM s_h{i} GROUP BY namespace, node_id"
+        f"SELECT namespace, node_id, {i} AS i, sum(hits) AS f, "
+        f"sum(CASE WHEN col = 0 THEN hits ELSE 0 END) AS f_label FROM s_h{i} GROUP BY namespace, node_id"
         for i in range(len(phrases)))))
     extra.append(("s_idf", """SELECT c.namespace, c.i,
        CASE WHEN ln((s.n_docs - c.n_i + 0.5) / (c.n_i + 0.5)) <= 0 THEN {floor}
@@ -89,13 +90,16 @@ FROM (SELECT namespace, i, count(*) AS n_i FROM s_pp GROUP BY namespace, i) c JO
                   .format(floor=IDF_FLOOR)))
     extra.append(("s_match", _set_sql(expr, idx)))
     extra.append(("s_sc", f"""SELECT pp.namespace, pp.node_id,
-       -sum(i.idf * pp.f * {K1 + 1} / (pp.f + {K1} * (1 - {B} + {B} * d.doc_len / s.avg_len))) AS raw
+       -sum(i.idf * pp.f * {K1 + 1} / (pp.f + {K1} * (1 - {B} + {B} * d.doc_len / s.avg_len))) AS raw,
+       min(pp.f_label) AS min_label, count(*) AS n_matched
 FROM s_pp pp JOIN s_idf i ON i.namespace = pp.namespace AND i.i = pp.i
 JOIN s_docs d ON d.namespace = pp.namespace AND d.node_id = pp.node_id
 JOIN s_stats s ON s.namespace = pp.namespace
 WHERE (pp.namespace, pp.node_id) IN (SELECT namespace, node_id FROM s_match)
 GROUP BY pp.namespace, pp.node_id"""))
-    body = """SELECT d.node_id, d.namespace, d.final_label AS node_label, 'page_titles' AS match_type, d.depth, d.parent_id,
+    match = (f"CASE WHEN sc.min_label > 0 AND sc.n_matched = {len(phrases)} THEN 'node_label' "
+             f"ELSE 'page_titles' END" if detect_match_type else "'page_titles'")
+    body = f"""SELECT d.node_id, d.namespace, d.final_label AS node_label, {match} AS match_type, d.depth, d.parent_id,
        round(sc.raw, 6) AS score
 FROM s_sc sc JOIN s_docs d ON d.namespace = sc.namespace AND d.node_id = sc.node_id
 ORDER BY score, d.node_id""" + (f" LIMIT {limit}" if limit is not None else "")

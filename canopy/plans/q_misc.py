@@ -123,3 +123,52 @@ def edge_geometry(spark, d):
     e = T.edge_geometry(t, _positions(spark, d, None))
     return e.select("node_id", "parent_id", *[F.round(c, 6).alias(c) for c in
                                               ("mid_x", "mid_y", "mid_z", "length")])
+
+
+@register("first_label_of", V("""SELECT namespace, node_id, first_label FROM doc_tree
+WHERE namespace = 'enwiki_namespace_0' AND node_id = 2""", "doc_tree"))
+def first_label_of(spark, d):
+    """First-pass label of one node."""
+    t = fx.doc_tree(spark, d)
+    return Lk.node_by_id(t, "enwiki_namespace_0", 2).select("namespace", "node_id", "first_label")
+
+
+@register("embed_budget", V("""SELECT namespace, chunk_name, page_id FROM (
+  SELECT pl.namespace, pl.chunk_name, pl.page_id,
+         row_number() OVER (PARTITION BY pl.namespace ORDER BY pl.chunk_name, pl.page_id) AS rn
+  FROM page_log pl WHERE NOT EXISTS (SELECT 1 FROM page_vector pv WHERE pv.namespace = pl.namespace
+                                     AND pv.page_id = pl.page_id AND pv.embedding IS NOT NULL)) WHERE rn <= 100""",
+                            "page_log", "page_vector"))
+def embed_budget(spark, d):
+    """An embedding run with a budget of 100 pages per namespace, chunks in order."""
+    todo = Lk.pages_needing_embedding(fx.page_log(spark, d), fx.page_vector(spark, d))
+    return first_n_per_group(todo, ["namespace"], ["chunk_name", "page_id"], 100).select(
+        "namespace", "chunk_name", "page_id")
+
+
+@register("running_embedded", V("""SELECT namespace, page_id,
+       sum(CASE WHEN embedding IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY namespace ORDER BY page_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+FROM page_vector""", "page_vector"))
+def running_embedded(spark, d):
+    """Running count of embedded pages per namespace in page order (block-split running sum)."""
+    from canopy.operators.windows import grouped_prefix_sum
+    pv = fx.page_vector(spark, d).select("namespace", "page_id",
+                                         F.col("embedding").isNotNull().cast("bigint").alias("e"))
+    return grouped_prefix_sum(pv, ["namespace"], "page_id", "e", "running", inclusive=True, block=64).select(
+        "namespace", "page_id", "running")
+
+
+@register("metadata_namespaces", V("""SELECT DISTINCT namespace AS identifier,
+       regexp_extract(namespace, '^([a-z]+)wiki', 1) AS in_language FROM page_log""", "page_log"))
+def metadata_namespaces(spark, d):
+    """A metadata list (JSON array document) of the namespaces in storage, read back."""
+    from canopy.sources.dims import metadata_list
+    from canopy.sources.scratch import scratch_dir
+    root = scratch_dir(spark, "meta")
+    ns = fx.page_log(spark, d).select("namespace").distinct()
+    doc = ns.agg(F.to_json(F.array_sort(F.collect_list(F.struct(
+        F.col("namespace").alias("identifier"),
+        F.regexp_extract("namespace", r"^([a-z]+)wiki", 1).alias("in_language"))))).alias("value"))
+    doc.coalesce(1).write.mode("overwrite").text(root)
+    return metadata_list(spark, root, "identifier string, in_language string")

@@ -25,9 +25,10 @@ def _geo_index(spark, d):
     return artifacts.value(spark, d, "geo_search_index", build)
 
 
-def _doc_sql(expr, ns, limit):
+def _doc_sql(expr, ns, limit, detect=False):
     return search_sql(expr, ns, limit, "doc_tree", "page_vector", "page_log",
-                      lambda body, extra: fx.with_views(body, "doc_tree", "page_vector", "page_log", extra=extra))
+                      lambda body, extra: fx.with_views(body, "doc_tree", "page_vector", "page_log", extra=extra),
+                      detect_match_type=detect)
 
 
 def _geo_sql(expr, ns, limit):
@@ -87,3 +88,18 @@ def search_label_phrase(spark, d):
 @register("search_geo", _geo_sql(Q_GEO, "geo", 50))
 def search_geo(spark, d):
     return S.search(_geo_index(spark, d), Q_GEO, "geo", 50)
+
+
+Q_LABEL = S.parse_query("source", "en")
+Q_MIXED = S.Or([S.Phrase(["wikipedia"]), S.Phrase(["the"])])
+
+
+@register("search_match_type", _doc_sql(Q_LABEL, None, 100, detect=True))
+def search_match_type(spark, d):
+    """K8: match type reported per hit (label-only matches say node_label)."""
+    return S.search(_doc_index(spark, d), Q_LABEL, None, 100, detect_match_type=True)
+
+
+@register("search_match_type_mixed", _doc_sql(Q_MIXED, None, 100, detect=True))
+def search_match_type_mixed(spark, d):
+    return S.search(_doc_index(spark, d), Q_MIXED, None, 100, detect_match_type=True)
