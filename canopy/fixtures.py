@@ -105,7 +105,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 def geo_page(spark: SparkSession, d: str) -> DataFrame:
     c = tables.read(spark, d, "customer")
-    return c.join(F.broadcast(_segments(spark, d)), "c_mktsegment").select(
+    return c.join(_segments(spark, d), "c_mktsegment").select(
         F.lit("geo").alias("namespace"), F.col("c_custkey").alias("page_id"), F.col("c_name").alias("title"),
         (F.lit(32) + F.col("c_nationkey") * 5 + F.col("s")).cast("bigint").alias("cluster_node_id"))
 
@@ -121,7 +121,7 @@ def geo_tree(spark: SparkSession, d: str) -> DataFrame:
                             F.lit(1).cast("bigint"), F.lit(1), "r_name").toDF(*root.columns)
     nations = nation.select(F.lit("geo"), (F.lit(7) + F.col("n_nationkey")).cast("bigint"),
                             (F.lit(2) + F.col("n_regionkey")).cast("bigint"), F.lit(2), "n_name").toDF(*root.columns)
-    leaves = (cust.join(F.broadcast(_segments(spark, d)), "c_mktsegment")
+    leaves = (cust.join(_segments(spark, d), "c_mktsegment")
               .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
               .select(F.lit("geo"), (F.lit(32) + F.col("n_nationkey") * 5 + F.col("s")).cast("bigint"),
                       (F.lit(7) + F.col("n_nationkey")).cast("bigint"), F.lit(3),

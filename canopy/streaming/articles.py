@@ -11,8 +11,8 @@
 * N4: duplicate deliveries dropped with ``dropDuplicatesWithinWatermark``;
 * N5: the same fold over a batch read gives the same state (replay).
 
-State versions are written as Parquet folders (one per batch id, overwritten on
-retry), so a failed batch re-runs idempotently.
+The state is a Parquet table bucketed by page id; each micro-batch rewrites only the
+buckets it touches, and the fold is idempotent, so a failed batch simply re-runs.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopy.session import cut_lineage
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_identifier", T.LongType()),
     T.StructField("page_id", T.LongType()),
@@ -72,42 +74,61 @@ def resume_filter(events: DataFrame, bounds: DataFrame) -> DataFrame:
     return j.where(keep).drop("after_offset", "since")
 
 
+STATE_BUCKETS = 64
+
+
 def run_state_stream(spark: SparkSession, source: str, state_root: str, checkpoint: str,
-                     max_files_per_trigger: int | None = None, request_filter=None) -> DataFrame:
-    """N1 + N3: fold the whole available stream into the state table; return the final state."""
+                     max_files_per_trigger: int | None = None, request_filter=None,
+                     buckets: int = STATE_BUCKETS) -> DataFrame:
+    """N1 + N3: fold the whole available stream into the state table; return the final state.
+
+    The state is one Parquet table partitioned by a hash bucket of page_id.  A
+    micro-batch reads only the buckets it touches (partition pruning), folds them
+    with its events and overwrites just those buckets (dynamic partition
+    overwrite), so a batch costs O(touched state), not O(state).  The fold is
+    idempotent (latest event wins), so a retried batch rewrites the same rows.
+    """
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(source)
     if request_filter is not None:
         stream = request_filter(stream)
+    bucket = F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        prev = latest_version(spark, state_root, below=batch_id)
-        fold(prev, batch).write.mode("overwrite").parquet(f"{state_root}/v={batch_id}")
+        b = latest_per_page(batch).withColumn("bucket", bucket).persist()
+        touched = [r.bucket for r in b.select("bucket").distinct().collect()]   # <= buckets values
+        if not touched:
+            b.unpersist()
+            return
+        prev = _read_state(spark, state_root)
+        if prev is not None:
+            prev = prev.where(F.col("bucket").isin(touched))
+            merged = latest_per_page(prev.select(*STATE_COLS).unionByName(b.select(*STATE_COLS)))
+        else:
+            merged = b.select(*STATE_COLS)
+        merged = merged.withColumn("bucket", bucket)
+        # materialise before overwriting the partitions it was read from
+        merged = cut_lineage(merged)
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(state_root))
+        b.unpersist()
 
     q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    final = latest_version(spark, state_root)
+    final = _read_state(spark, state_root)
     if final is None:
         return spark.createDataFrame([], T.StructType([f for f in EVENT_SCHEMA.fields if f.name in STATE_COLS]))
-    return final
-
+    return final.drop("bucket")
 
-def latest_version(spark: SparkSession, state_root: str, below: int | None = None) -> DataFrame | None:
-    """Newest state version folder (``v=<batch id>``), optionally older than ``below``.
 
-    Looking it up from storage (not driver memory) lets a restarted query resume."""
+def _read_state(spark: SparkSession, state_root: str) -> DataFrame | None:
     try:
-        allv = spark.read.parquet(state_root)
-    except Exception:  # noqa: BLE001 - no version written yet
-        return None
-    cand = allv if below is None else allv.where(F.col("v") < below)
-    top = cand.agg(F.max("v")).first()[0]
-    if top is None:
+        return spark.read.parquet(state_root)
+    except Exception:  # noqa: BLE001 - nothing written yet
         return None
-    return allv.where(F.col("v") == top).drop("v")
 
 
 def dedup_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
