@@ -134,34 +134,56 @@ def silhouette_np(x: np.ndarray, lab: np.ndarray) -> float:
     return float(s.mean())
 
 
-def local_kmeans(points: DataFrame, nodes: DataFrame, params: ClusterParams) -> DataFrame:
-    """Cluster every (bounded) node in one task each.
+def local_subtrees(points: DataFrame, nodes: DataFrame, params: ClusterParams) -> DataFrame:
+    """Grow the whole subtree of every bounded node (<= ``local_cap`` pages) inside one task.
 
-    Output per page: namespace, path, page_id, x, cid; the first row of each node
-    also carries the node's silhouette and centroid (mean of its k centres).
+    Output rows are of two kinds: ``page`` rows (namespace, page_id, x, path = final leaf
+    path) and ``node`` rows (namespace, path, silhouette, centroid) for every node of the
+    subtree that attempted a split (accepted or not).
     """
-    seed, max_iter, tol_rel = params.seed, params.max_iter, params.tol
+    p = params
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow_all(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page_id").reset_index(drop=True)
         x = np.vstack(pdf["x"].to_numpy()).astype(np.float64)
-        k = int(pdf["k"].iloc[0])
-        c0 = _kmeans_pp(x, k, np.random.default_rng(seed))
-        tol = tol_rel * float(x.var(axis=0).mean())
-        c, lab = _lloyd_np(x, c0, max_iter, tol)
-        sil = silhouette_np(x, lab)
-        out = pdf[[NS, "path", "page_id", "x"]].copy()
-        out["cid"] = lab.astype(np.int32)
-        out["silhouette"] = None
-        out["centroid"] = None
-        out.at[0, "silhouette"] = None if np.isnan(sil) else sil
-        out.at[0, "centroid"] = c.mean(axis=0).tolist()
-        return out
-
-    inp = points.join(nodes.select(NS, "path", "k"), [NS, "path"])
+        base = list(pdf["path"].iloc[0])
+        ns = pdf[NS].iloc[0]
+        page_path: list = [None] * len(x)
+        node_rows = []
+
+        def grow(idx: np.ndarray, rel: list) -> None:
+            n, depth = len(idx), len(base) + len(rel)
+            k = min(p.max_k, math.ceil(n / p.leaf_target))
+            if n <= p.leaf_target or depth >= p.max_depth or k <= 1:
+                for i in idx:
+                    page_path[i] = base + rel
+                return
+            xs = x[idx]
+            c0 = _kmeans_pp(xs, k, np.random.default_rng(p.seed))
+            c, lab = _lloyd_np(xs, c0, p.max_iter, p.tol * float(xs.var(axis=0).mean()))
+            sil = silhouette_np(xs, lab)
+            node_rows.append((base + rel, None if np.isnan(sil) else sil, c.mean(axis=0).tolist()))
+            if np.isnan(sil) or sil < p.min_silhouette:
+                for i in idx:
+                    page_path[i] = base + rel
+                return
+            for j in range(len(c)):
+                m = lab == j
+                if m.any():
+                    grow(idx[m], rel + [j])
+
+        grow(np.arange(len(x)), [])
+        pages = pd.DataFrame({"kind": "page", NS: ns, "page_id": pdf["page_id"], "x": pdf["x"],
+                              "path": page_path, "silhouette": None, "centroid": None})
+        nodes_df = pd.DataFrame({"kind": "node", NS: ns, "page_id": None, "x": None,
+                                 "path": [r[0] for r in node_rows], "silhouette": [r[1] for r in node_rows],
+                                 "centroid": [r[2] for r in node_rows]})
+        return pd.concat([pages, nodes_df], ignore_index=True)
+
+    inp = points.join(nodes.select(NS, "path"), [NS, "path"], "left_semi")
     return inp.groupBy(NS, "path").applyInPandas(
-        solve, f"{NS} string, path array<int>, page_id bigint, x array<double>, cid int, "
-               "silhouette double, centroid array<double>")
+        grow_all, f"kind string, {NS} string, page_id bigint, x array<double>, path array<int>, "
+                  "silhouette double, centroid array<double>")
 
 
 # --- Lloyd iterations --------------------------------------------------------------
@@ -221,26 +243,31 @@ def build_tree(pages: DataFrame, params: ClusterParams = ClusterParams(), vec: s
         empty = pages.sparkSession.createDataFrame([], "namespace string, node_id bigint")
         return empty, empty
     dim = len(first["x"])
-    pts = cut_lineage(base.withColumn("path", F.array().cast("array<int>")))
+    pts = cut_lineage(base.withColumn("path", F.array().cast("array<int>")).withColumn("done", F.lit(False)))
     levels = []
     for depth in range(params.max_depth):
-        counts = pts.groupBy(NS, "path").agg(F.count("*").alias("n"))
+        active = pts.where(~F.col("done"))
+        counts = active.groupBy(NS, "path").agg(F.count("*").alias("n"))
         cand = (counts.where(F.col("n") > params.leaf_target)
                 .withColumn("k", F.least(F.lit(params.max_k), F.ceil(F.col("n") / params.leaf_target)).cast("int"))
-                .where(F.col("k") > 1))
-        cand = cand.persist()
+                .where(F.col("k") > 1)).persist()
         tally = cand.agg(F.count("*").alias("n"), F.count_if(F.col("n") > params.local_cap).alias("big")).first()
         n_nodes, n_large = tally["n"], tally["big"]
         if n_nodes == 0:
+            cand.unpersist()
             break
         small = cand.where(F.col("n") <= params.local_cap)
         large = cand.where(F.col("n") > params.local_cap)
-        loc = local_kmeans(pts.join(small.select(NS, "path"), [NS, "path"], "left_semi"), small, params)
-        loc = loc.persist()
-        asg = loc.select(NS, "path", "page_id", "x", "cid")
-        info = loc.where(F.col("centroid").isNotNull()).select(NS, "path", "silhouette", "centroid")
+        # nodes that fit one task: their whole subtree in one pass
+        loc = local_subtrees(active, small, params).persist()
+        parts = [pts.where("done"),
+                 active.join(cand.select(NS, "path"), [NS, "path"], "left_anti").withColumn("done", F.lit(True)),
+                 loc.where(F.col("kind") == "page").select(NS, "page_id", "x", "path", F.lit(True).alias("done"))]
+        info = [loc.where(F.col("kind") == "node").select(NS, "path", "centroid", "silhouette",
+                                                            F.lit(None).cast("boolean").alias("accepted"))]
         if n_large:
-            cpts = pts.join(large.select(NS, "path"), [NS, "path"], "left_semi").persist()
+            # nodes too big for one task: one distributed k-means level
+            cpts = active.join(large.select(NS, "path"), [NS, "path"], "left_semi").persist()
             centres = seed_centres(cpts, large, params)
             centres, big_asg, _ = lloyd(cpts, centres, n_large, dim, params)
             big_asg = cut_lineage(big_asg)
@@ -248,24 +275,33 @@ def build_tree(pages: DataFrame, params: ClusterParams = ClusterParams(), vec: s
                 .groupBy(NS, "path").agg(F.avg("silhouette").alias("silhouette"))
             cent = Vx.group_mean(centres.withColumnRenamed("vec", "c"), [NS, "path"], "c").select(
                 NS, "path", "centroid")
-            info = info.unionByName(sil.join(cent, [NS, "path"]).select(NS, "path", "silhouette", "centroid"))
-            asg = asg.unionByName(big_asg.select(NS, "path", "page_id", "x", "cid"))
+            nonempty = big_asg.groupBy(NS, "path").agg(F.countDistinct("cid").alias("n_nonempty"))
+            level = (large.select(NS, "path").join(sil, [NS, "path"], "left").join(nonempty, [NS, "path"])
+                     .join(cent, [NS, "path"])
+                     .withColumn("accepted", (F.col("n_nonempty") >= 2)
+                                 & (F.coalesce("silhouette", F.lit(-2.0)) >= params.min_silhouette))
+                     .select(NS, "path", "centroid", "silhouette", "accepted"))
+            level = cut_lineage(level)
+            info.append(level)
+            acc = level.where("accepted").select(NS, "path")
+            parts.append(big_asg.join(acc, [NS, "path"], "left_semi").select(
+                NS, "page_id", "x", F.concat("path", F.array("cid")).alias("path"), F.lit(False).alias("done")))
+            parts.append(big_asg.join(acc, [NS, "path"], "left_anti").select(
+                NS, "page_id", "x", "path", F.lit(True).alias("done")))
             cpts.unpersist()
-        nonempty = asg.groupBy(NS, "path").agg(F.countDistinct("cid").alias("n_nonempty"))
-        level = (cand.join(info, [NS, "path"], "left").join(nonempty, [NS, "path"])
-                 .withColumn("accepted", (F.col("n_nonempty") >= 2)
-                             & (F.coalesce("silhouette", F.lit(-2.0)) >= params.min_silhouette))
-                 .select(NS, "path", "centroid", "silhouette", "accepted"))
-        levels.append(level)
-        acc = level.where("accepted").select(NS, "path")
-        moved = asg.join(acc, [NS, "path"], "left_semi").select(
-            NS, "page_id", "x", F.concat("path", F.array("cid")).alias("path"))
-        stay = pts.join(acc, [NS, "path"], "left_anti")
-        new_pts = cut_lineage(stay.unionByName(moved))
-        levels[-1] = cut_lineage(level)
+        merged = info[0]
+        for i in info[1:]:
+            merged = merged.unionByName(i)
+        levels.append(cut_lineage(merged.drop("accepted")))
+        new_pts = parts[0]
+        for part in parts[1:]:
+            new_pts = new_pts.unionByName(part)
+        new_pts = cut_lineage(new_pts)
         for held in (cand, loc):
             held.unpersist()
         pts = new_pts
+        if n_large == 0:
+            break
     return _finish(pts, levels, pages.sparkSession)
 
 
