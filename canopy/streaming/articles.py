@@ -11,8 +11,9 @@
 * N4: duplicate deliveries dropped with ``dropDuplicatesWithinWatermark``;
 * N5: the same fold over a batch read gives the same state (replay).
 
-The state is a Parquet table bucketed by page id; each micro-batch rewrites only the
-buckets it touches, and the fold is idempotent, so a failed batch simply re-runs.
+The state is log-structured: each micro-batch appends its latest-per-page rows
+(O(batch) work, idempotent on retry) and periodic compaction folds them into a new
+base version; readers fold base + newer deltas with the same latest-wins rule.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.session import cut_lineage
-
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_identifier", T.LongType()),
     T.StructField("page_id", T.LongType()),
@@ -74,19 +73,17 @@ def resume_filter(events: DataFrame, bounds: DataFrame) -> DataFrame:
     return j.where(keep).drop("after_offset", "since")
 
 
-STATE_BUCKETS = 64
-
-
 def run_state_stream(spark: SparkSession, source: str, state_root: str, checkpoint: str,
                      max_files_per_trigger: int | None = None, request_filter=None,
-                     buckets: int = STATE_BUCKETS) -> DataFrame:
-    """N1 + N3: fold the whole available stream into the state table; return the final state.
-
-    The state is one Parquet table partitioned by a hash bucket of page_id.  A
-    micro-batch reads only the buckets it touches (partition pruning), folds them
-    with its events and overwrites just those buckets (dynamic partition
-    overwrite), so a batch costs O(touched state), not O(state).  The fold is
-    idempotent (latest event wins), so a retried batch rewrites the same rows.
+                     compact_every: int = 8) -> DataFrame:
+    """N1 + N3: fold the whole available stream into the page state; return the final state.
+
+    The state is a log-structured table under ``state_root``:
+    * every micro-batch appends only its own latest-per-page rows as ``delta/batch=<id>``
+      (O(batch) work; rewriting the same folder on retry makes the batch idempotent);
+    * every ``compact_every`` batches the newest base and the deltas after it are folded
+      into a new ``base/v=<id>``;
+    * readers fold the newest base with the deltas written after it (``read_state``).
     """
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
@@ -94,43 +91,50 @@ def run_state_stream(spark: SparkSession, source: str, state_root: str, checkpoi
     stream = reader.json(source)
     if request_filter is not None:
         stream = request_filter(stream)
-    bucket = F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        b = latest_per_page(batch).withColumn("bucket", bucket).persist()
-        touched = [r.bucket for r in b.select("bucket").distinct().collect()]   # <= buckets values
-        if not touched:
-            b.unpersist()
-            return
-        prev = _read_state(spark, state_root)
-        if prev is not None:
-            prev = prev.where(F.col("bucket").isin(touched))
-            merged = latest_per_page(prev.select(*STATE_COLS).unionByName(b.select(*STATE_COLS)))
-        else:
-            merged = b.select(*STATE_COLS)
-        merged = merged.withColumn("bucket", bucket)
-        # materialise before overwriting the partitions it was read from
-        merged = cut_lineage(merged)
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(state_root))
-        b.unpersist()
+        latest_per_page(batch).write.mode("overwrite").parquet(f"{state_root}/delta/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            state = read_state(spark, state_root, upto=batch_id)
+            state.write.mode("overwrite").parquet(f"{state_root}/base/v={batch_id}")
 
     q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    final = _read_state(spark, state_root)
-    if final is None:
-        return spark.createDataFrame([], T.StructType([f for f in EVENT_SCHEMA.fields if f.name in STATE_COLS]))
-    return final.drop("bucket")
+    return read_state(spark, state_root)
 
 
-def _read_state(spark: SparkSession, state_root: str) -> DataFrame | None:
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(state_root)
+        return spark.read.parquet(path)
     except Exception:  # noqa: BLE001 - nothing written yet
         return None
 
 
+def read_state(spark: SparkSession, state_root: str, upto: int | None = None) -> DataFrame:
+    """Newest base version folded with the deltas written after it (up to batch ``upto``)."""
+    base_all = _read(spark, f"{state_root}/base")
+    deltas = _read(spark, f"{state_root}/delta")
+    base_v = None
+    if base_all is not None:
+        cand = base_all if upto is None else base_all.where(F.col("v") <= upto)
+        base_v = cand.agg(F.max("v")).first()[0]
+    parts = []
+    if base_v is not None:
+        parts.append(base_all.where(F.col("v") == base_v).select(*STATE_COLS))
+    if deltas is not None:
+        d = deltas if base_v is None else deltas.where(F.col("batch") > base_v)
+        if upto is not None:
+            d = d.where(F.col("batch") <= upto)
+        parts.append(d.select(*STATE_COLS))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([f for f in EVENT_SCHEMA.fields if f.name in STATE_COLS]))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    return latest_per_page(allp)
+
+
 def dedup_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
                  delay: str = "1 hour") -> DataFrame:
     """Drop repeated deliveries of an event id within the watermark delay."""
