@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from canopy.functions.text import embed_input, halve_to_fit, tokens
 

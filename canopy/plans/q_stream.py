@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from canopy import fixtures as fx
 from canopy.plans.registry import register

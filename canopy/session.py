@@ -44,6 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    # local runs and tests only: a scratch folder on this machine
     target = conf_dir or tempfile.mkdtemp(prefix="canopy-ckpt-", dir="/tmp")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir()
