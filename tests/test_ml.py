@@ -137,3 +137,32 @@ def test_centroid_projection_lengths(spark):
     for k, v in out.items():
         if k != 1:
             assert np.isfinite(v).all() and np.linalg.norm(v) >= 1 - 1e-9
+
+
+def test_embedding_hooks(spark):
+    from canopy.operators import embed as E
+    texts = spark.createDataFrame([("ns", 1, "alpha beta"), ("ns", 2, ""), ("ns", 3, "gamma")],
+                                  "namespace string, page_id bigint, text string")
+
+    def model(s):
+        if (s == "").any():
+            raise ValueError("empty input")
+        return [[float(len(t)), 1.0] for t in s]
+
+    out = {r.page_id: r for r in E.embed_pages(texts, model, 2).collect()}
+    assert out[1].embedding == [10.0, 1.0] and out[1].error is None
+    assert out[2].embedding is None and "empty" in out[2].error      # one failure does not sink the batch
+    hv = E.hashing_embed(texts.where("page_id <> 2"), 16).collect()
+    for r in hv:
+        assert abs(np.linalg.norm(r.embedding) - 1.0) < 1e-6
+
+
+def test_strict_page_records(spark):
+    from canopy.sources import pages as SP
+    from canopy.sources.scratch import scratch_dir
+    root = scratch_dir(spark, "strict")
+    spark.createDataFrame([(None, None, "x", "u", "a")], SP.PAGE_RECORD).write.json(root)
+    good, bad = SP.read_page_records(spark, root, namespace="ns")
+    assert good.count() == 0 and bad.count() == 1
+    with pytest.raises(ValueError):
+        SP.read_page_records(spark, root, namespace="ns", strict=True)
