@@ -125,8 +125,18 @@ def top_terms(pages: DataFrame, n: int = 5) -> DataFrame:
     statistics per namespace.  ``pages``: (namespace, node_id, page_id, title).
     """
     from canopy.functions.text import tokens
-    toks = pages.select(*KEY, F.explode(tokens("title")).alias("term"))
-    tc = toks.groupBy(*KEY, "term").agg(F.count("*").alias("c"))
+    return top_terms_from_counts(
+        pages.select(*KEY, F.explode(tokens("title")).alias("term")).groupBy(*KEY, "term")
+        .agg(F.count("*").alias("c")), n)
+
+
+def top_terms_from_postings(postings: DataFrame, n: int = 5) -> DataFrame:
+    """L8 over an existing search index: the title column's postings are the token counts."""
+    return top_terms_from_counts(
+        postings.where(F.col("col") == 1).groupBy(*KEY, "term").agg(F.count("*").alias("c")), n)
+
+
+def top_terms_from_counts(tc: DataFrame, n: int) -> DataFrame:
     node_len = tc.groupBy(*KEY).agg(F.sum("c").alias("len"))
     avg_len = node_len.groupBy("namespace").agg(F.avg("len").alias("avg_len"))
     term_tot = tc.groupBy("namespace", "term").agg(F.sum("c").alias("tot"))

@@ -151,9 +151,9 @@ FROM tc JOIN nl USING (namespace, node_id) JOIN tt USING (namespace, term) JOIN
   SELECT *, row_number() OVER (PARTITION BY namespace, node_id ORDER BY score DESC, term) AS rank FROM sc)
 WHERE rank <= 5""", "doc_tree", "page_log", "page_vector", extra=_TT))
 def top_terms(spark, d):
-    """Top five title terms per node (class-based TF-IDF)."""
-    pages = S.node_pages(fx.doc_tree(spark, d), fx.page_vector(spark, d), fx.page_log(spark, d))
-    return T.top_terms(pages, 5)
+    """Top five title terms per node (class-based TF-IDF over the search index's postings)."""
+    from canopy.plans.q_search import _doc_index
+    return T.top_terms_from_postings(_doc_index(spark, d).postings, 5)
 
 
 @register("label_budget", V("""SELECT namespace, node_id, evidence FROM ev ORDER BY namespace, node_id LIMIT 10""",
