@@ -166,3 +166,17 @@ def test_strict_page_records(spark):
     assert good.count() == 0 and bad.count() == 1
     with pytest.raises(ValueError):
         SP.read_page_records(spark, root, namespace="ns", strict=True)
+
+
+def test_assignment_paths_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pts = spark.createDataFrame(
+        [("ns", [0, 1][i % 2:i % 2 + 1], int(i), rng.normal(size=4).tolist()) for i in range(200)],
+        "namespace string, path array<int>, page_id bigint, x array<double>")
+    cents = spark.createDataFrame(
+        [("ns", [p], c, rng.normal(size=4).tolist()) for p in (0, 1) for c in range(3)],
+        "namespace string, path array<int>, cid int, vec array<double>")
+    blas = {r.page_id: r.cid for r in C._assign(pts, cents, 2, 4).collect()}
+    monkeypatch.setattr(Vx, "BROADCAST_BUDGET_BYTES", 0)
+    jvm = {r.page_id: r.cid for r in C._assign(pts, cents, 2, 4).collect()}
+    assert blas == jvm and len(blas) == 200
