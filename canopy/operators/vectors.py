@@ -2,10 +2,11 @@
 
 Vectors are ``array<float>`` at rest and ``array<double>`` in arithmetic.  Means
 and sums use ``Summarizer`` (one vector buffer per group, map-side combined), and
-"point vs. candidate centres" work packs each group's centres into one array
-(bounded by k <= max_k) that is joined to the points — broadcast only when the
-packed table is measured to fit the budget, a shuffle join otherwise.  No
-operator forms point pairs; the silhouette uses per-cluster sums instead.
+"point vs. candidate centres" work either ships a centre table whose measured size
+fits the broadcast budget to every task and runs BLAS products per Arrow batch, or
+packs each group's centres into one array (bounded by k <= max_k) joined to the
+points and compared with JVM array functions.  No operator forms point pairs; the
+silhouette uses per-cluster sums instead.
 """
 
 from __future__ import annotations
@@ -131,6 +132,9 @@ def silhouette_points(points: DataFrame, keys: Sequence[str], label: str, vec: s
     u = points.select(*keys, label, *[c for c in points.columns if c not in (*keys, label, vec)],
                       unit(as_double(vec)).alias("__u"))
     sums = group_sum(u, [*keys, label], F.col("__u"), "S")
+    n_sums = sums.count()
+    if n_sums * (8 * (dim or 128) + 64) <= BROADCAST_BUDGET_BYTES:
+        return _silhouette_blas(u, sums, list(keys), label)
     packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct(F.col(label).alias("cid"), F.col("n"), F.col("S")))).alias("cands"))
     j = _join_packed(u, packed, keys, dim)
@@ -145,6 +149,49 @@ def silhouette_points(points: DataFrame, keys: Sequence[str], label: str, vec: s
     return j.select(*[c for c in u.columns if c != "__u"], s.alias("silhouette"))
 
 
+def _silhouette_blas(u: DataFrame, sums: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Same closed form with the (size-checked) cluster sums broadcast and BLAS per Arrow batch."""
+    import numpy as np
+    table: dict = {}
+    for r in sums.collect():
+        table.setdefault(tuple(_hashable(r[k]) for k in keys), []).append((r[label], r["n"], r["S"]))
+    packed = {k: (np.array([a for a, _, _ in sorted(v)]), np.array([n for _, n, _ in sorted(v)], dtype=np.float64),
+                  np.array([sv for _, _, sv in sorted(v)], dtype=np.float64)) for k, v in table.items()}
+    bc = u.sparkSession.sparkContext.broadcast(packed)
+    out_cols = [c for c in u.columns if c != "__u"]
+
+    def run(it):
+        sums_by = bc.value
+        for pdf in it:
+            s = np.zeros(len(pdf))
+            keycols = [pdf[k].map(_hashable) for k in keys]
+            for key, idx in pdf.groupby(keycols, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                ids, cnt, S = sums_by[key]
+                x = np.vstack(pdf["__u"].to_numpy()[idx]).astype(np.float64)
+                pos = np.searchsorted(ids, pdf[label].to_numpy()[idx])
+                dots = x @ S.T
+                selfd = (x * x).sum(axis=1)
+                own = cnt[pos]
+                a = np.where(own > 1, (own - 1 - (dots[np.arange(len(x)), pos] - selfd)) / np.maximum(own - 1, 1), 0.0)
+                other = 1.0 - dots / cnt[None, :]
+                other[np.arange(len(x)), pos] = np.inf
+                b = other.min(axis=1) if len(ids) > 1 else np.full(len(x), np.nan)
+                m = np.maximum(a, b)
+                ok = (own > 1) & (m != 0) & ~np.isnan(b)
+                s[idx] = np.where(ok, (b - a) / np.where(ok, m, 1.0), 0.0)
+            out = pdf[out_cols].copy()
+            out["silhouette"] = s
+            yield out
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in u.schema.fields if f.name != "__u")
+    return u.mapInPandas(run, f"{fields}, silhouette double")
+
+
+def _hashable(v):
+    return tuple(v) if hasattr(v, "__len__") and not isinstance(v, str) else v
+
+
 def silhouette_score(points: DataFrame, keys: Sequence[str], label: str, vec: str) -> DataFrame:
     return silhouette_points(points, keys, label, vec).groupBy(*keys).agg(
         F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
