@@ -35,11 +35,11 @@ def paths(tree: DataFrame, checkpoint_every: int = 4) -> DataFrame:
         nxt = (edges.join(cur.select("namespace", F.col("node_id").alias("parent_id"), F.col("path").alias("pp")),
                           ["namespace", "parent_id"])
                .select(*KEY, F.concat("pp", F.array("node_id")).alias("path")))
-        if level % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-            acc = cut_lineage(acc)
         if level > bound and nxt.isEmpty():
             break
+        if level % checkpoint_every == 0 and level < bound:    # deep trees: keep the plan short
+            nxt = cut_lineage(nxt)
+            acc = cut_lineage(acc)
         acc = acc.unionByName(nxt)
         cur = nxt
     return acc

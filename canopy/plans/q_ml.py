@@ -102,10 +102,10 @@ def centroid_projection_pca(spark, d):
 
 @register("corpus_embed")
 def corpus_embed(spark, d):
-    """Embed every page that has no vector yet (default hashing model, 64 dims)."""
+    """Embed every page that has no vector yet (default hashing model, 64 dims, whole texts)."""
     todo = L.pages_needing_embedding(fx.page_log(spark, d), fx.page_vector(spark, d))
     texts = E.input_text(fx.page_log(spark, d).join(todo.select("namespace", "page_id"), ["namespace", "page_id"],
-                                                    "left_semi"), max_chars=8000)
+                                                    "left_semi"))
     return E.hashing_embed(texts, 64)
 
 

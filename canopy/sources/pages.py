@@ -105,7 +105,7 @@ def read_archives(archives: DataFrame, all_members: bool = False, batch_rows: in
     Only the first member is read unless ``all_members``.  Lines without an id are dropped
     (see ``read_page_records`` for the quarantine variant)."""
     n = max(archives.count(), 1)
-    spread = archives.repartition(n, "archive")
+    spread = archives.repartition(n)          # round robin: one archive per task
 
     def stream(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
