@@ -39,7 +39,7 @@ def parent_id_of(spark, d):
 
 @register("node_view", V("""SELECT namespace, node_id, parent_id, depth,
        coalesce(final_label, first_label, concat('Node ', CAST(node_id AS VARCHAR))) AS label,
-       child_count = 0 AS is_leaf, 0.0 AS x, 0.0 AS y, 0.0 AS z
+       child_count = 0 AS is_leaf, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z
 FROM doc_tree""", "doc_tree"))
 def node_view(spark, d):
     t = fx.doc_tree(spark, d).withColumn("centroid_3d", F.lit(None).cast("array<double>"))
@@ -248,8 +248,8 @@ def _geo_partial(spark, d):
 
 
 @register("status_labels", V("""SELECT namespace, count(*) AS nodes,
-       count_if(coalesce(first_label, '') <> '') AS first_labelled,
-       count_if(coalesce(final_label, '') <> '') AS final_labelled FROM gp GROUP BY namespace""",
+       CAST(count_if(coalesce(first_label, '') <> '') AS BIGINT) AS first_labelled,
+       CAST(count_if(coalesce(final_label, '') <> '') AS BIGINT) AS final_labelled FROM gp GROUP BY namespace""",
                              "geo_tree", extra=[("gp", _GEO_PARTIAL)]))
 def status_labels(spark, d):
     return St.label_status(_geo_partial(spark, d))
@@ -280,8 +280,8 @@ def namespaces_distinct(spark, d):
     return St.namespaces(fx.page_log(spark, d), fx.geo_tree(spark, d), fx.emb_tree(spark, d))
 
 
-@register("tree_summary", V("""SELECT namespace, count(*) AS nodes, count_if(NOT is_parent) AS leaves,
-       count_if(is_parent) AS stems FROM (
+@register("tree_summary", V("""SELECT namespace, count(*) AS nodes, CAST(count_if(NOT is_parent) AS BIGINT) AS leaves,
+       CAST(count_if(is_parent) AS BIGINT) AS stems FROM (
   SELECT t.namespace, t.node_id, EXISTS (SELECT 1 FROM allt c WHERE c.namespace = t.namespace
                                         AND c.parent_id = t.node_id) AS is_parent FROM allt t) x GROUP BY namespace""",
                             "geo_tree", "doc_tree",

@@ -147,8 +147,8 @@ def embed_budget(spark, d):
 
 
 @register("running_embedded", V("""SELECT namespace, page_id,
-       sum(CASE WHEN embedding IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY namespace ORDER BY page_id
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+       CAST(sum(CASE WHEN embedding IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY namespace ORDER BY page_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running
 FROM page_vector""", "page_vector"))
 def running_embedded(spark, d):
     """Running count of embedded pages per namespace in page order (block-split running sum)."""

@@ -204,7 +204,7 @@ def slim_export(spark, d):
     return reconcile(src, dst)
 
 
-@register("blob_codec", V("SELECT vec_id, 4 * len(embedding) AS n_bytes, true AS roundtrip_ok FROM embeddings"))
+@register("blob_codec", V("SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, true AS roundtrip_ok FROM embeddings"))
 def blob_codec(spark, d):
     """float32 little-endian blobs and back."""
     e = tables.read(spark, d, "embeddings")

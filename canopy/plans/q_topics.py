@@ -147,7 +147,7 @@ FROM tc JOIN nl USING (namespace, node_id) JOIN tt USING (namespace, term) JOIN
 ]
 
 
-@register("top_terms", V("""SELECT namespace, node_id, rank, term, score FROM (
+@register("top_terms", V("""SELECT namespace, node_id, CAST(rank AS INTEGER) AS rank, term, score FROM (
   SELECT *, row_number() OVER (PARTITION BY namespace, node_id ORDER BY score DESC, term) AS rank FROM sc)
 WHERE rank <= 5""", "doc_tree", "page_log", "page_vector", extra=_TT))
 def top_terms(spark, d):

@@ -15,7 +15,7 @@ def paths_sql(tree: str) -> list[tuple[str, str]]:
         ("p(namespace, node_id, path)", f"""SELECT namespace, node_id, [node_id] FROM {tree} WHERE parent_id IS NULL
 UNION ALL SELECT t.namespace, t.node_id, list_append(p.path, t.node_id) FROM {tree} t
 JOIN p ON t.namespace = p.namespace AND t.parent_id = p.node_id"""),
-        ("cl", """SELECT namespace, node_id, anc AS ancestor_id, len(path) - 1 - i AS distance
+        ("cl", """SELECT namespace, node_id, anc AS ancestor_id, CAST(len(path) - 1 - i AS INTEGER) AS distance
 FROM (SELECT namespace, node_id, path, unnest(path) AS anc, unnest(range(len(path))) AS i FROM p)"""),
     ]
 
@@ -43,7 +43,8 @@ _ROLLUP = """SELECT t.namespace, t.node_id, coalesce(dc.doc_count, 0) AS doc_cou
        (SELECT count(*) FROM geo_tree c WHERE c.namespace = t.namespace AND c.parent_id = t.node_id) AS child_count,
        dc.subtree_size
 FROM geo_tree t JOIN (
-  SELECT cl.namespace, cl.ancestor_id AS node_id, sum(coalesce(pc.n, 0)) AS doc_count, count(*) AS subtree_size
+  SELECT cl.namespace, cl.ancestor_id AS node_id, CAST(sum(coalesce(pc.n, 0)) AS BIGINT) AS doc_count,
+         count(*) AS subtree_size
   FROM cl LEFT JOIN (SELECT namespace, cluster_node_id AS node_id, count(*) AS n FROM geo_page GROUP BY 1, 2) pc
     ON pc.namespace = cl.namespace AND pc.node_id = cl.node_id
   GROUP BY 1, 2) dc ON dc.namespace = t.namespace AND dc.node_id = t.node_id"""
