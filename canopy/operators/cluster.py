@@ -273,7 +273,8 @@ def build_tree(pages: DataFrame, params: ClusterParams = ClusterParams(), vec: s
     """
     base = pages.where(F.col(vec).isNotNull()).select(NS, "page_id", Vx.as_double(vec).alias("x"))
     sizes = base.groupBy(NS).agg(F.count("*").alias("n"))
-    base = base.join(sizes.where(F.col("n") >= params.max_k).select(NS), NS, "left_semi")
+    # one row per namespace: broadcast, so the semi-join never shuffles pages by namespace
+    base = base.join(F.broadcast(sizes.where(F.col("n") >= params.max_k).select(NS)), NS, "left_semi")
     first = base.select("x").first()
     if first is None:
         empty = pages.sparkSession.createDataFrame([], "namespace string, node_id bigint")

@@ -254,12 +254,15 @@ def search(index: SearchIndex, expr, namespace: str | None = None, limit: int |
              .withColumn("i", F.lit(i)))
         per_phrase = h if per_phrase is None else per_phrase.unionByName(h)
     n_i = per_phrase.groupBy("namespace", "i").agg(F.count("*").alias("n_i"))
+    # per-namespace tables have one row per namespace (a handful): broadcast them so that a
+    # namespace holding most of the rows never lands in one shuffle partition
+    stats = F.broadcast(stats)
     idf = (n_i.join(stats, "namespace")
            .select("namespace", "i", F.log((F.col("n_docs") - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5)).alias("raw"))
            .select("namespace", "i", F.when(F.col("raw") <= 0, F.lit(IDF_FLOOR)).otherwise(F.col("raw")).alias("idf")))
     matched = _nodes(expr, hits)
     scored = (per_phrase.join(matched, KEY, "left_semi")
-              .join(idf, ["namespace", "i"])
+              .join(F.broadcast(idf), ["namespace", "i"])
               .join(docs.select(*KEY, "doc_len"), KEY)
               .join(stats, "namespace")
               .withColumn("term_score", F.col("idf") * F.col("f") * (K1 + 1)

@@ -140,7 +140,7 @@ def top_terms_from_counts(tc: DataFrame, n: int) -> DataFrame:
     node_len = tc.groupBy(*KEY).agg(F.sum("c").alias("len"))
     avg_len = node_len.groupBy("namespace").agg(F.avg("len").alias("avg_len"))
     term_tot = tc.groupBy("namespace", "term").agg(F.sum("c").alias("tot"))
-    scored = (tc.join(node_len, KEY).join(term_tot, ["namespace", "term"]).join(avg_len, "namespace")
+    scored = (tc.join(node_len, KEY).join(term_tot, ["namespace", "term"]).join(F.broadcast(avg_len), "namespace")
               .withColumn("score", F.round(F.col("c") / F.col("len") * F.log(1 + F.col("avg_len") / F.col("tot")), 6)))
     w = Window.partitionBy(*KEY).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
