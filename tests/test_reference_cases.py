@@ -184,3 +184,16 @@ def test_resume_bounds(spark):
                                "event_identifier long, part int, off long, date_published timestamp_ntz")
     b = N.since_bounds(spark, {1: 10, 2: 20}, {2: dt.datetime(2024, 1, 2)})
     assert sorted(ids(N.resume_filter(ev, b), "event_identifier")) == [2, 4]
+
+
+def test_search_bounds_and_empty_queries(spark):
+    idx = _search4(spark)
+    assert S.search_text(idx, "!!!", NS, "en").count() == 0          # no tokens -> empty result
+    assert S.search_text(idx, "x" * 101, NS, "en").count() == 0     # out of bounds -> empty result
+    assert S.search_text(idx, "physics", NS, "en", limit=1).count() == 1
+    with pytest.raises(ValueError):
+        S.search(idx, S.parse_query("physics", "en"), NS, limit=101)
+    got = S.search(idx, S.parse_query("chemistry", "en"), NS, detect_match_type=True).collect()
+    assert [(r.node_id, r.match_type) for r in got] == [(3, "node_label")]
+    got = S.search(idx, S.parse_query("organic", "en"), NS, detect_match_type=True).collect()
+    assert [(r.node_id, r.match_type) for r in got] == [(3, "page_titles")]
