@@ -215,48 +215,9 @@ def lloyd(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int, params:
 
 
 def _assign(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int) -> DataFrame:
-    """Nearest centre of each point's node.
-
-    Centre tables within the broadcast budget (measured: rows x width) are shipped once
-    as a broadcast variable and the distances run as BLAS matrix products per Arrow batch
-    (``mapInPandas``); larger centre tables are joined per node and compared with JVM
-    array functions instead.
-    """
-    keys = [NS, "path"]
-    n_centres = centres.count()
-    if n_centres * (8 * dim + 64) <= Vx.BROADCAST_BUDGET_BYTES:
-        return _assign_blas(points, centres)
-    packed = Vx.pack_centres(centres, keys, "cid", "vec")
-    j = points.join(Vx.broadcast_if_small(packed, n_nodes, 8 * dim * 64), keys)
-    best = F.array_min(F.transform("cands", lambda c: F.struct(Vx.sqdist(c["vec"], F.col("x")).alias("d"),
-                                                               c["cid"].alias("c"))))
-    return j.select(*[c for c in points.columns], best["c"].alias("cid"))
-
-
-def _assign_blas(points: DataFrame, centres: DataFrame) -> DataFrame:
-    table: dict = {}
-    for r in centres.select(NS, "path", "cid", "vec").collect():      # size checked by the caller
-        table.setdefault((r[NS], tuple(r["path"])), []).append((r["cid"], r["vec"]))
-    packed = {k: (np.array([c for c, _ in sorted(v)], dtype=np.int32),
-                  np.array([vec for _, vec in sorted(v)], dtype=np.float64)) for k, v in table.items()}
-    bc = points.sparkSession.sparkContext.broadcast(packed)
-    cols = points.columns
-
-    def run(it):
-        cent = bc.value
-        for pdf in it:
-            cid = np.full(len(pdf), -1, dtype=np.int32)
-            groups = pdf.groupby([pdf[NS], pdf["path"].map(tuple)], sort=False).indices
-            for key, idx in groups.items():
-                ids, c = cent[key]
-                x = np.vstack(pdf["x"].to_numpy()[idx]).astype(np.float64)
-                cid[idx] = ids[_sqdist_np(x, c).argmin(axis=1)]
-            out = pdf[cols].copy()
-            out["cid"] = cid
-            yield out
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.mapInPandas(run, f"{fields}, cid int")
+    """Nearest centre of each point's node (BLAS under the broadcast budget, JVM join beyond it)."""
+    out = Vx.nearest_centre(points, centres.withColumnRenamed("vec", "x"), [NS, "path"], "x", "cid", dim)
+    return out.drop("dist2")
 
 
 # --- the level loop ----------------------------------------------------------------

@@ -103,7 +103,12 @@ def nearest_centre(points: DataFrame, centres: DataFrame, keys: Sequence[str], v
     """Assign each point to the nearest (squared Euclidean) centre of its group.
 
     Ties go to the smallest centre id.  Output: points' columns + ``cid``, ``dist2``.
+    A centre table within the broadcast budget is shipped once and compared with BLAS
+    per Arrow batch; otherwise each group's centres are joined and compared in the JVM.
     """
+    width = dim or len(centres.select(vec).first()[0])
+    if centres.count() * (8 * width + 64) <= BROADCAST_BUDGET_BYTES:
+        return nearest_centre_blas(points, centres, list(keys), vec, cid)
     packed = pack_centres(centres, keys, cid, vec)
     j = _join_packed(points, packed, keys, dim)
     x = as_double(vec)
@@ -113,6 +118,45 @@ def nearest_centre(points: DataFrame, centres: DataFrame, keys: Sequence[str], v
         *[c for c in points.columns], F.col("__b.c").alias(cid), F.col("__b.d").alias("dist2"))
 
 
+def nearest_centre_blas(points: DataFrame, centres: DataFrame, keys: list[str], vec: str, cid: str) -> DataFrame:
+    """Broadcast (size-checked by the caller) centres, BLAS distances per Arrow batch."""
+    import numpy as np
+    table: dict = {}
+    for r in centres.select(*keys, cid, vec).collect():
+        table.setdefault(tuple(_hashable(r[k]) for k in keys), []).append((r[cid], list(r[vec])))
+    packed = {k: (np.array([c for c, _ in sorted(v)]), np.array([x for _, x in sorted(v)], dtype=np.float64))
+              for k, v in table.items()}
+    bc = points.sparkSession.sparkContext.broadcast(packed)
+    cols = points.columns
+    cid_type = centres.schema[cid].dataType.simpleString()
+
+    def run(it):
+        cent = bc.value
+        for pdf in it:
+            ids_out = np.zeros(len(pdf), dtype=np.int64)
+            d_out = np.full(len(pdf), np.nan)
+            hit = np.zeros(len(pdf), dtype=bool)
+            keycols = [pdf[k].map(_hashable) for k in keys]
+            for key, idx in pdf.groupby(keycols, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in cent:
+                    continue
+                ids, c = cent[key]
+                x = np.vstack(pdf[vec].to_numpy()[idx]).astype(np.float64)
+                d2 = np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :], 0.0)
+                best = d2.argmin(axis=1)
+                ids_out[idx] = ids[best]
+                d_out[idx] = d2[np.arange(len(idx)), best]
+                hit[idx] = True
+            out = pdf[cols].copy()
+            out[cid] = ids_out
+            out["dist2"] = d_out
+            yield out[hit]          # points whose group has no centre drop out, as in the join path
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInPandas(run, f"{fields}, {cid} {cid_type}, dist2 double")
+
+
 def lloyd_update(assigned: DataFrame, keys: Sequence[str], vec: str = "vec", cid: str = "cid") -> DataFrame:
     """New centres = mean of the assigned points (empty centres disappear)."""
     return group_mean(assigned, [*keys, cid], vec, "vec")
