@@ -25,10 +25,12 @@ def paths(tree: DataFrame, checkpoint_every: int = 4) -> DataFrame:
     One join per level.  The stored depth bounds the loop (one small aggregate);
     a final emptiness probe continues past it if the stored depths are inconsistent.
     """
-    edges = tree.where(F.col("parent_id").isNotNull()).select("namespace", "node_id", "parent_id")
-    cur = tree.where(F.col("parent_id").isNull()).select(*KEY, F.array("node_id").alias("path"))
+    # the node table is read once per level: materialise it once (it is pages / leaf size rows)
+    nodes = cut_lineage(tree.select("namespace", "node_id", "parent_id", "depth"))
+    edges = nodes.where(F.col("parent_id").isNotNull()).select("namespace", "node_id", "parent_id")
+    cur = nodes.where(F.col("parent_id").isNull()).select(*KEY, F.array("node_id").alias("path"))
     acc = cur
-    bound = tree.agg(F.max("depth")).first()[0] or 0
+    bound = nodes.agg(F.max("depth")).first()[0] or 0
     level = 0
     while level < MAX_LEVELS:
         level += 1
