@@ -207,15 +207,15 @@ def phrase_hits(post: DataFrame, ph: Phrase) -> DataFrame:
     last = len(ph.tokens) - 1
     cur = _match(post, ph.tokens[0], ph.prefix and last == 0).select(*KEY, "col", F.col("pos").alias("end"))
     for j, tok in enumerate(ph.tokens[1:], start=1):
-        nxt = _match(post, tok, ph.prefix and j == last).select(*KEY, "col", F.col("pos").alias("p2"))
-        cur = (cur.join(nxt, [*KEY, "col"]).where(F.col("p2") == F.col("end") + 1)
-               .select(*KEY, "col", F.col("p2").alias("end")))
+        # equi-join on the next position itself: linear in the postings, never a per-node product
+        nxt = _match(post, tok, ph.prefix and j == last).select(*KEY, "col", F.col("pos").alias("end"))
+        cur = cur.select(*KEY, "col", (F.col("end") + 1).alias("end")).join(nxt, [*KEY, "col", "end"])
     return cur.groupBy(*KEY, "col").agg(F.count("*").alias("hits"))
 
 
 def _nodes(expr, hits: dict[int, DataFrame]) -> DataFrame:
     if isinstance(expr, Phrase):
-        return hits[id(expr)].select(*KEY).distinct()
+        return hits[id(expr)]
     if isinstance(expr, And):
         out = _nodes(expr.parts[0], hits)
         for e in expr.parts[1:]:
@@ -246,13 +246,14 @@ def search(index: SearchIndex, expr, namespace: str | None = None, limit: int |
         docs = docs.where(F.col("namespace") == namespace)
         stats = stats.where(F.col("namespace") == namespace)
     phrases = phrases_of(expr)
-    hits = {id(p): phrase_hits(post, p) for p in phrases}
     per_phrase = None
     for i, p in enumerate(phrases):
-        h = (hits[id(p)].groupBy(*KEY)
+        h = (phrase_hits(post, p).groupBy(*KEY)
              .agg(F.sum("hits").alias("f"), F.sum(F.when(F.col("col") == 0, F.col("hits"))).alias("f_label"))
              .withColumn("i", F.lit(i)))
         per_phrase = h if per_phrase is None else per_phrase.unionByName(h)
+    # node sets per phrase come from the same aggregate (one postings read per phrase token)
+    hits = {id(p): per_phrase.where(F.col("i") == i).select(*KEY) for i, p in enumerate(phrases)}
     n_i = per_phrase.groupBy("namespace", "i").agg(F.count("*").alias("n_i"))
     # per-namespace tables have one row per namespace (a handful): broadcast them so that a
     # namespace holding most of the rows never lands in one shuffle partition
