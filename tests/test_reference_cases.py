@@ -197,3 +197,39 @@ def test_search_bounds_and_empty_queries(spark):
     assert [(r.node_id, r.match_type) for r in got] == [(3, "node_label")]
     got = S.search(idx, S.parse_query("organic", "en"), NS, detect_match_type=True).collect()
     assert [(r.node_id, r.match_type) for r in got] == [(3, "page_titles")]
+
+
+def test_centroid200(spark):
+    """Root plus 200 leaves with 3 pages each: 200 centroids, none missing."""
+    rng = np.random.default_rng(1)
+    nodes = [(NS, 1, None, 0, [0.0])] + [(NS, 2 + i, 1, 1, None) for i in range(200)]
+    tree = spark.createDataFrame(nodes, "namespace string, node_id bigint, parent_id bigint, depth int, "
+                                        "centroid array<double>")
+    pages = spark.createDataFrame([(NS, 2 + i, rng.normal(size=100).tolist()) for i in range(200) for _ in range(3)],
+                                  "namespace string, node_id bigint, vec array<double>")
+    out = Vx.missing_leaf_centroids(tree, pages, "vec").collect()
+    assert len(out) == 200 and all(r.centroid is not None and r.n == 3 for r in out)
+
+
+def test_projection_sizes(spark):
+    """Nodes of 3, 5, 10, 20 and 50 pages: all 88 pages get three coordinates."""
+    from canopy.operators import projection as Pr
+    rng = np.random.default_rng(2)
+    rows, pid = [], 0
+    for node, size in enumerate([3, 5, 10, 20, 50]):
+        for _ in range(size):
+            rows.append((NS, pid, node, rng.normal(size=100).tolist()))
+            pid += 1
+    pv = spark.createDataFrame(rows, "namespace string, page_id bigint, cluster_node_id bigint, reduced array<double>")
+    out = Pr.page_projection(pv, "reduced").collect()
+    assert len(out) == 88 and all(len(r.three_d) == 3 and np.isfinite(r.three_d).all() for r in out)
+
+
+def test_pca150(spark):
+    """150 x 2048 float32 vectors reduced to 100 dimensions: 150 reduced rows of width 100."""
+    from canopy.operators import pca as P
+    rng = np.random.default_rng(4)
+    pv = spark.createDataFrame([(NS, i, rng.normal(size=2048).astype(np.float32).tolist()) for i in range(150)],
+                               "namespace string, page_id bigint, embedding array<float>")
+    out = P.reduce_namespace(pv, 100).collect()
+    assert len(out) == 150 and all(len(r.reduced) == 100 for r in out)
