@@ -125,3 +125,13 @@ FROM (SELECT namespace, page_id, t,
 def embed_text_truncated(spark, d):
     """H2: halve the input until it fits 2000 characters."""
     return E.input_text(fx.page_log(spark, d), max_chars=2000)
+
+
+@register("namespace_trees")
+def namespace_trees(spark, d):
+    """I2 + I5 per language namespace: the document vectors reduced and clustered namespace by
+    namespace (statistics, ids and stopping rules never mix namespaces)."""
+    pv = fx.page_vector(spark, d).where(F.col("embedding").isNotNull()).select("namespace", "page_id", "embedding")
+    red = artifacts.table(spark, d, "doc_reduced", lambda: P.reduce_namespace(pv, TARGET_DIM, "embedding", "reduced"))
+    nodes, _ = C.build_tree(red, PARAMS)
+    return nodes.select("namespace", "node_id", "parent_id", "depth", "doc_count", "child_count")

@@ -180,3 +180,18 @@ def test_assignment_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(Vx, "BROADCAST_BUDGET_BYTES", 0)
     jvm = {r.page_id: r.cid for r in C._assign(pts, cents, 2, 4).collect()}
     assert blas == jvm and len(blas) == 200
+
+
+def test_namespace_trees_are_separate(spark):
+    from canopy.plans.q_ml import namespace_trees
+    rows = namespace_trees(spark, MEDIUM).collect()
+    pv = fx.page_vector(spark, MEDIUM).where(F.col("embedding").isNotNull()).groupBy("namespace").count().collect()
+    sizes = {r["namespace"]: r["count"] for r in pv}
+    by_ns = {}
+    for r in rows:
+        by_ns.setdefault(r.namespace, []).append(r)
+    for ns, nodes in by_ns.items():
+        root = [r for r in nodes if r.parent_id is None]
+        assert len(root) == 1 and root[0].node_id == 1 and root[0].doc_count == sizes[ns]
+    # namespaces with fewer vectors than max_k get no tree
+    assert set(by_ns) == {ns for ns, n in sizes.items() if n >= PARAMS.max_k}
