@@ -233,3 +233,23 @@ def test_pca150(spark):
                                "namespace string, page_id bigint, embedding array<float>")
     out = P.reduce_namespace(pv, 100).collect()
     assert len(out) == 150 and all(len(r.reduced) == 100 for r in out)
+
+
+def test_label_passes_bottom_up(spark):
+    """Four passes over the geo tree: every node labelled, root named after its namespace,
+    inner nodes only after their children."""
+    from canopy import fixtures as fx
+    from tests.conftest import SMALL
+    tree = fx.geo_tree(spark, SMALL).select(
+        "namespace", "node_id", "parent_id", "depth", F.lit(None).cast("string").alias("first_label"),
+        F.lit(None).cast("string").alias("final_label"))
+    pages = fx.geo_page(spark, SMALL).select(
+        "namespace", F.col("cluster_node_id").alias("node_id"), "page_id", "title",
+        F.lit(None).cast("string").alias("abstract"))
+    out = {r.node_id: r for r in Tp.run_passes(tree, pages, lang.languages(spark)).collect()}
+    assert out[1].first_label == out[1].final_label == "geo"           # unknown namespace -> its own name
+    leaves_with_pages = {r.cluster_node_id for r in fx.geo_page(spark, SMALL).select("cluster_node_id").collect()}
+    for n in leaves_with_pages:
+        assert out[n].first_label and out[n].final_label
+    nations = [r for r in out.values() if r.depth == 2]
+    assert all(r.first_label for r in nations)
