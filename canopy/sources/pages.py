@@ -3,7 +3,8 @@
 * ndjson page records -> page_log rows (id = ``identifier``, else ``id``; records
   with neither go to a quarantine frame, or fail the job in strict mode);
 * tar.gz archives: one task per archive streams its members line by line
-  (bounded Arrow batches), never loading an archive into one row;
+  (bounded Arrow batches), never loading an archive into one row; archives are
+  opened through pyarrow filesystems, so file:, hdfs: or object-store URIs work;
 * chunk manifests; per-file record counts.
 """
 
@@ -75,21 +76,30 @@ def write_page_records(page_log: DataFrame, path: str, id_field: F.Column) -> No
 
 # --- A2: archives ----------------------------------------------------------------------
 
+def _fs(uri: str):
+    """(filesystem, path) for a URI: file:, hdfs:, s3: ... via pyarrow; bare paths are local."""
+    from pyarrow import fs as pafs
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), local_path(uri)
+
+
 def write_archives(page_log: DataFrame, path: str) -> DataFrame:
     """Test/producer side: one ``<chunk>.tar.gz`` per (namespace, chunk) holding one ndjson
     member.  Returns (namespace, chunk_name, archive) rows."""
-    root = local_path(path)
+    root = path.rstrip("/")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        import os
         ns, chunk = pdf["namespace"].iloc[0], pdf["chunk_name"].iloc[0]
-        os.makedirs(f"{root}/{ns}", exist_ok=True)
+        fs, base = _fs(f"{root}/{ns}")
+        fs.create_dir(base, recursive=True)
         lines = "\n".join(json.dumps({"identifier": int(r.page_id), "name": r.title, "url": r.url,
                                       "abstract": r.abstract}, ensure_ascii=False)
                           for r in pdf.sort_values("page_id").itertuples()) + "\n"
         data = lines.encode("utf-8")
         target = f"{root}/{ns}/{chunk}.tar.gz"
-        with tarfile.open(target, "w:gz") as tf:
+        fs_t, p_t = _fs(target)
+        with fs_t.open_output_stream(p_t) as out, tarfile.open(fileobj=out, mode="w|gz") as tf:
             info = tarfile.TarInfo(name=f"{chunk}.ndjson")
             info.size = len(data)
             tf.addfile(info, io.BytesIO(data))
@@ -111,7 +121,8 @@ def read_archives(archives: DataFrame, all_members: bool = False, batch_rows: in
         for pdf in it:
             for r in pdf.itertuples():
                 rows = []
-                with tarfile.open(local_path(r.archive), "r|gz") as tf:
+                fs, p = _fs(r.archive)
+                with fs.open_input_stream(p) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tf:
                     for member in tf:
                         if not member.isfile():
                             continue
