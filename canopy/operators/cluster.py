@@ -198,6 +198,8 @@ def lloyd(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int, params:
     var = points.select(Vx.array_to_vector("x").alias("v")).select(
         Vx.Summarizer.variance(F.col("v")).alias("var")).first()["var"]
     tol_abs = params.tol * (float(sum(var.toArray())) / max(len(var.toArray()), 1) if var is not None else 0.0)
+    if centres.count() * (8 * dim + 64) <= Vx.BROADCAST_BUDGET_BYTES:
+        return _lloyd_broadcast(points, centres, params, tol_abs)
     it = 0
     for it in range(1, params.max_iter + 1):
         asg = _assign(points, centres, n_nodes, dim)
@@ -214,6 +216,30 @@ def lloyd(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int, params:
     return centres, _assign(points, centres, n_nodes, dim), it
 
 
+def _lloyd_broadcast(points: DataFrame, centres: DataFrame, params: ClusterParams, tol_abs: float
+                     ) -> tuple[DataFrame, DataFrame, int]:
+    """Lloyd steps with the (size-checked) centre table kept on the driver and broadcast:
+    one distributed job per step (assign + mean), the shift test and lineage cut for free."""
+    keys = [NS, "path"]
+    packed = Vx.collect_centres(centres, keys, "cid", "vec")
+    it = 0
+    for it in range(1, params.max_iter + 1):
+        asg = Vx.assign_packed(points, packed, keys, "x", "cid").drop("dist2")
+        means = Vx.lloyd_update(asg, keys, "x", "cid").select(*keys, "cid", "vec").collect()
+        new = {k: (ids, c.copy()) for k, (ids, c) in packed.items()}
+        for r in means:                       # a centre without points keeps its position
+            ids, c = new[(r[NS], tuple(r["path"]))]
+            c[int(np.searchsorted(ids, r["cid"]))] = np.asarray(r["vec"], dtype=np.float64)
+        shift = max((float(((new[k][1] - packed[k][1]) ** 2).sum(axis=1).max()) for k in packed), default=0.0)
+        packed = new
+        if shift <= tol_abs:
+            break
+    rows = [(k[0], list(k[1]), int(i), c.tolist()) for k, (ids, cs) in packed.items() for i, c in zip(ids, cs)]
+    spark = points.sparkSession
+    final = spark.createDataFrame(rows, f"{NS} string, path array<int>, cid int, vec array<double>")
+    return final, Vx.assign_packed(points, packed, keys, "x", "cid").drop("dist2"), it
+
+
 def _assign(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int) -> DataFrame:
     """Nearest centre of each point's node (BLAS under the broadcast budget, JVM join beyond it)."""
     out = Vx.nearest_centre(points, centres.withColumnRenamed("vec", "x"), [NS, "path"], "x", "cid", dim)

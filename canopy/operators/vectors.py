@@ -118,17 +118,28 @@ def nearest_centre(points: DataFrame, centres: DataFrame, keys: Sequence[str], v
         *[c for c in points.columns], F.col("__b.c").alias(cid), F.col("__b.d").alias("dist2"))
 
 
-def nearest_centre_blas(points: DataFrame, centres: DataFrame, keys: list[str], vec: str, cid: str) -> DataFrame:
-    """Broadcast (size-checked by the caller) centres, BLAS distances per Arrow batch."""
+def collect_centres(centres: DataFrame, keys: list[str], cid: str, vec: str) -> dict:
+    """{group key: (sorted centre ids, centre matrix)} — callers check the size first."""
     import numpy as np
     table: dict = {}
     for r in centres.select(*keys, cid, vec).collect():
         table.setdefault(tuple(_hashable(r[k]) for k in keys), []).append((r[cid], list(r[vec])))
-    packed = {k: (np.array([c for c, _ in sorted(v)]), np.array([x for _, x in sorted(v)], dtype=np.float64))
-              for k, v in table.items()}
+    return {k: (np.array([c for c, _ in sorted(v)]), np.array([x for _, x in sorted(v)], dtype=np.float64))
+            for k, v in table.items()}
+
+
+def nearest_centre_blas(points: DataFrame, centres: DataFrame, keys: list[str], vec: str, cid: str) -> DataFrame:
+    """Broadcast (size-checked by the caller) centres, BLAS distances per Arrow batch."""
+    return assign_packed(points, collect_centres(centres, keys, cid, vec), keys, vec, cid,
+                         centres.schema[cid].dataType.simpleString())
+
+
+def assign_packed(points: DataFrame, packed: dict, keys: list[str], vec: str, cid: str,
+                  cid_type: str = "int") -> DataFrame:
+    """Nearest centre per point from an already collected (bounded) centre table."""
+    import numpy as np
     bc = points.sparkSession.sparkContext.broadcast(packed)
     cols = points.columns
-    cid_type = centres.schema[cid].dataType.simpleString()
 
     def run(it):
         cent = bc.value

@@ -195,3 +195,11 @@ def test_namespace_trees_are_separate(spark):
         assert len(root) == 1 and root[0].node_id == 1 and root[0].doc_count == sizes[ns]
     # namespaces with fewer vectors than max_k get no tree
     assert set(by_ns) == {ns for ns, n in sizes.items() if n >= PARAMS.max_k}
+
+
+def test_distributed_lloyd_join_path(spark, reduced, monkeypatch):
+    """With a zero broadcast budget every centre comparison takes the per-node join path."""
+    monkeypatch.setattr(Vx, "BROADCAST_BUDGET_BYTES", 0)
+    p = dataclasses.replace(PARAMS, local_cap=100, max_iter=3, max_depth=2)
+    nodes, asg = C.build_tree(reduced, p)
+    _check_tree(nodes.cache(), asg.cache(), reduced.count(), p)
