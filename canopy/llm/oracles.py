@@ -89,3 +89,26 @@ def mix_sql(mix: mixing.Mix = mixing.Mix()) -> str:
     z AS (SELECT src, key, pos, sum(n * times) AS taken FROM y GROUP BY ALL)
     SELECT p.doc_id, p.size, q.source_size, q.target, coalesce(z.taken, 0)::BIGINT AS taken
     FROM p JOIN q ON p.src = q.src LEFT JOIN z ON p.src = z.src AND p.key = z.key AND p.pos = z.pos AND p.size > 0"""
+
+
+def warc_sql() -> str:
+    return """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                      sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL
+                THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+    FROM f"""
+
+
+def top_k_sql(k: int = 20) -> str:
+    return f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+          FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

@@ -7,18 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import chat, mixing, oracles, quality
+from canopy.llm import chat, langid, mixing, oracles, packing, quality, topk, toxicity, warc
 from canopy.llm.common import table
+from canopy.sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to dictionary-compressed archives, and what the archives hold."""
+    pages = table(spark, sf_dir, "pages")
+    folder = scratch_dir(spark, "warc")
+    warc.write_archives(pages, folder)
+    return warc.read_archives(spark, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labelled rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fifth = toxicity.remainder(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, labels, "toxic", fifth != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fifth == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix takes, with its source's size and target."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as power-of-two pieces of at most 2048 ids."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, packing.public_tokenizer(), with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best integer inner products of every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -36,10 +68,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the texts that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    fourth = toxicity.remainder(F.col("doc_id"), 4)
+    model = langid.fit(docs, fourth != 2)
+    return langid.predict(docs, model).select(
+        "doc_id", F.coalesce(fourth == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_mix_sources, op7_chat_format, op8_quality_rules)}
+    f.__name__: f for f in (
+        op2_warc_archive, op3_toxicity, op4_mix_sources, op5_packing, op6_top_k, op7_chat_format,
+        op8_quality_rules, op10_language_id)}
 
 ORACLES: dict[str, str] = {
+    "op2_warc_archive": oracles.warc_sql(),
+    "op6_top_k": oracles.top_k_sql(),
     "op4_mix_sources": oracles.mix_sql(),
     "op7_chat_format": oracles.chat_sql(),
     "op8_quality_rules": oracles.quality_sql(),
