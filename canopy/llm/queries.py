@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import chat, langid, mixing, oracles, packing, quality, topk, toxicity, warc
+from canopy.llm import chat, langid, mixing, oracles, packing, quality, simhash, suffix, topk, toxicity, warc
 from canopy.llm.common import table
 from canopy.sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and the smallest id it is linked to at 3 bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to dictionary-compressed archives, and what the archives hold."""
     pages = table(spark, sf_dir, "pages")
@@ -68,6 +74,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 50-byte strings that documents before it also have."""
+    return suffix.dedup(table(spark, sf_dir, "documents"), with_kept=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the texts that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -79,8 +91,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op2_warc_archive, op3_toxicity, op4_mix_sources, op5_packing, op6_top_k, op7_chat_format,
-        op8_quality_rules, op10_language_id)}
+        op1_simhash_near_dedup, op2_warc_archive, op3_toxicity, op4_mix_sources, op5_packing, op6_top_k, op7_chat_format,
+        op8_quality_rules, op9_suffix_dedup, op10_language_id)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": oracles.warc_sql(),
