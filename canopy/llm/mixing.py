@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.common import words
+from canopy.llm.common import SPACE_CLASS, words
 
 
 @dataclass(frozen=True)
@@ -40,17 +40,19 @@ def _order_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def sized(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def sized(docs: DataFrame, mix: Mix = Mix(), carry: bool = False) -> DataFrame:
     """``doc_id, source, src, size, key, slot``: the word count and the seeded place of each document.
 
     ``src`` stands for the source in joins and orders: a null one sorts after all others.
+    ``carry`` adds the whole input row as ``row``.
     """
     key = _order_key(F.col("doc_id"), mix.seed)
     return docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("src"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
-        key.alias("key"), F.substring(key, 1, 3).alias("slot"))
+        key.alias("key"), F.substring(key, 1, 3).alias("slot"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
 
 
 def targets(slots: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -108,9 +110,9 @@ def quotas(goals: DataFrame, mix: Mix = Mix()) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"]).alias("upto"))
 
 
-def _plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
+def _plan(docs: DataFrame, mix: Mix, carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents with their place in the source's stream, and the sources' plan."""
-    rows = sized(docs, mix)
+    rows = sized(docs, mix, carry)
     slots = rows.groupBy("src", "slot").agg(F.sum("size").alias("size"))
     goals = targets(slots, mix)
     before = Window.partitionBy("src").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -161,3 +163,26 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     taken = F.when(F.col("size") > 0, F.aggregate(_block_numbers(mix), zero, lambda acc, j: acc + share(j)))
     return placed.join(plan, "src").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce(taken, zero).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix as documents: for each pass over a source a row with the words it takes of a document.
+
+    All columns of ``docs`` are kept; ``text`` holds the picked words with the white space
+    before each.  A document of which nothing is taken has no row.
+    """
+    placed, plan = _plan(docs, mix, carry=True)
+    parts = F.regexp_extract_all(F.col("row.text"), F.lit(f"[{SPACE_CLASS}]*[^{SPACE_CLASS}]+"), F.lit(0))
+    passes = placed.filter("size > 0").join(plan, "src") \
+        .withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(mix.repeats)))) \
+        .withColumn("picked", F.filter(_block_numbers(mix), lambda j: _pick(j, mix)[1] >= F.col("pass"))) \
+        .filter(F.size("picked") > 0).withColumn("parts", parts)
+
+    def words_of(j: Column) -> Column:
+        first = F.greatest(j * mix.block - F.col("at"), F.lit(0))
+        last = F.least((j + 1) * mix.block - F.col("at"), F.col("size"))
+        return F.array_join(F.slice("parts", (first + 1).cast("int"), (last - first).cast("int")), "")
+
+    text = F.array_join(F.transform("picked", words_of), "")
+    return passes.withColumn("taken_text", text).select(
+        *(F.col("taken_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

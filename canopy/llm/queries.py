@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from canopy.llm import chat, langid, mixing, oracles, packing, quality, simhash, suffix, topk, toxicity, warc
 from canopy.llm.common import table
 from canopy.sources.scratch import scratch_dir
@@ -76,7 +77,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to 50-byte strings that documents before it also have."""
-    return suffix.dedup(table(spark, sf_dir, "documents"), with_kept=False).select(
+    return suffix.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -89,10 +90,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(fourth == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline, one after the other, over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_warc_archive, op3_toxicity, op4_mix_sources, op5_packing, op6_top_k, op7_chat_format,
-        op8_quality_rules, op9_suffix_dedup, op10_language_id)}
+        op8_quality_rules, op9_suffix_dedup, op10_language_id, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": oracles.warc_sql(),

@@ -23,8 +23,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.common import materialise
@@ -199,7 +200,10 @@ def _links(postings: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id among all documents reachable over links."""
+    """``doc_id, fp, root, component_id``: the smallest id among all documents reachable over links.
+
+    ``root`` is a fingerprint that stands for the component.
+    """
     if not 0 < max_bits <= 3:
         raise ValueError("max_bits must be 1, 2 or 3")
     fps = materialise(fingerprints(docs, shingle), "simhash-fps")
@@ -208,9 +212,41 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     roots = components(links).withColumnRenamed("node", "fp")
     named = roots.join(distinct, "fp")
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = roots.join(lowest, "root").select("fp", "component_id")
-    by_fp = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    moved = roots.join(lowest, "root")
+    by_fp = distinct.join(moved, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id.
+
+    Ids that occur once are kept or not by a semi join.  Rows that share an id, or have
+    none, are told apart by their text; of equal claims the smallest text stays.
+    """
+    found = materialise(near_duplicates(docs, shingle, max_bits), "simhash-found")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    per_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(first).alias("keep")) \
+        .filter("keep").select(F.col("doc_id").alias("_id"), "n")
+    once = docs.join(per_id.filter("n = 1 AND _id IS NOT NULL"), F.col("doc_id") == F.col("_id"), "left_semi")
+    several = materialise(docs.join(per_id.filter("n > 1 OR _id IS NULL"), F.col("doc_id").eqNullSafe(F.col("_id")),
+                                    "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")),
+                          "simhash-several")
+    texts = several.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "row")
+    roots = found.filter(first).select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    one = texts.withColumn("fp", _fingerprint_column(shingle)("text")).join(roots, F.col("fp") == F.col("_fp")) \
+        .withColumn("place", F.row_number().over(Window.partitionBy("_root").orderBy("text", "fp"))) \
+        .filter("place = 1").select("row.*")
+    return once.unionByName(one)
+
+
+def _fingerprint_column(shingle: int):
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in texts],
+                                  np.uint64).view(np.int64))
+
+    return run
 
 
 def hex_digits(fp: Column) -> Column:

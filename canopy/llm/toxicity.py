@@ -7,6 +7,8 @@ rate, and the L1 term keeps most of them at exactly zero, so the model is a shor
 
 Training reads at most ``most_rows`` labelled rows, those with the smallest seeded hash of
 their id (a bound on the sample of labelled rows only; every document is scored, whole).
+Every fifth of them is kept from the weights and sets slope and offset of the scores, as an
+L1 penalty leaves raw scores too low.
 
 Cases: a null or empty text has no features and its score is the bias alone; rows with a
 null id, text or label are not learned from; a document with several labels is learned from
@@ -21,18 +23,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    alpha: float = 0.15
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 16.0
     l2: float = 1.0
-    epochs: int = 3
+    epochs: int = 8
+    #: every how manieth row sets the scale of the scores instead of the weights
+    calibrate: int = 5
+    #: weight of all rows of label 0 against all of label 1 when it does
+    caution: float = 3.0
     most_rows: int = 20_000
     seed: int = 11
 
@@ -51,7 +57,7 @@ class _WordHashes(dict):
 
 def features(text: str | None, hashes: _WordHashes, bits: int) -> np.ndarray:
     """Hashed features of a text, with repeats."""
-    words = (text or "").split()
+    words = text.split() if isinstance(text, str) else []
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     shift = np.uint64(64 - bits)
     with np.errstate(over="ignore"):
@@ -80,6 +86,23 @@ def weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
     return np.where(np.abs(z) <= s.l1, 0.0, w)
 
 
+def scale(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple[float, float]:
+    """Slope and offset of a logistic curve through raw scores, both labels weighted as a whole."""
+    a, b = 1.0, 0.0
+    if len(set(y.tolist())) < 2:
+        return a, b
+    w = np.where(y == 1, 1 / (y == 1).sum(), s.caution / (y == 0).sum())
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
+        g, q = w * (p - y), w * p * (1 - p)
+        curve = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-6]])
+        step = np.clip(np.linalg.solve(curve, [(g * x).sum() + 1e-3 * (a - 1), g.sum()]), -2, 2)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
 @dataclass
 class Model:
     settings: Settings
@@ -108,10 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, s: Se
             yield pd.DataFrame({"place": batch["place"], "y": batch["y"], "f": got})
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = ((np.append(f, 1 << s.bits).astype(np.int64), int(y))
-                for b in batches for f, y in zip(b["f"], b["y"]))
-        z, n = ftrl(held, s)
+        held = [(np.append(f, 1 << s.bits).astype(np.int64), int(y))
+                for b in batches for f, y in zip(b["f"], b["y"])]
+        z, n = ftrl((r for k, r in enumerate(held) if k % s.calibrate != s.calibrate - 1), s)
         w = weights(z, n, s)
+        aside = held[s.calibrate - 1::s.calibrate]
+        slope, offset = scale(np.array([w[f].sum() for f, _ in aside]), np.array([y for _, y in aside]), s)
+        w *= slope
+        w[-1] += offset
         hit = np.flatnonzero(w)
         yield pd.DataFrame({"i": hit, "w": w[hit]})
 
@@ -123,25 +150,30 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, s: Se
     return Model(s, body["i"].to_numpy(np.int64), body["w"].to_numpy(float), float(bias.sum()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score``: the probability of label 1 for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model):
+    """A column function from texts to the probability of label 1."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         dense = np.zeros(1 << m.settings.bits)
         dense[m.index] = m.weight
         hashes = _WordHashes()
-        for batch in batches:
-            sums = np.empty(len(batch))
-            for k, text in enumerate(batch["text"]):
+        for texts in batches:
+            sums = np.empty(len(texts))
+            for k, text in enumerate(texts):
                 f = features(text, hashes, m.settings.bits)
-                f = f[dense[f] != 0]
-                sums[k] = m.bias + dense[np.unique(f)].sum()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(sums, -35, 35)))})
+                sums[k] = m.bias + dense[np.unique(f[dense[f] != 0])].sum()
+            yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
 
-    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score``: the probability of label 1 for every document."""
+    run = scorer(docs.sparkSession, model)
+    return docs.select("doc_id", run(F.col("text").cast("string")).alias("score"))
 
 
 def remainder(doc_id: Column, m: int) -> Column:
