@@ -35,24 +35,40 @@ class _Memo(dict):
 
     The tokenizer lower-cases and never joins ids across white space, and a letter followed
     by one full stop or comma ends a token of its own, so these parts can be encoded apart.
+    A lower-case Latin word is one pre-token, which the tokenizer's model encodes directly.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words: dict[str, bytes] = {}
         self.most = most
 
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= self.most:
+                self.words.clear()
+            spelled = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            self.words[word] = ids
+        return ids
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
+        if len(self) >= self.most // 2:
             self.clear()
         if chunk[-1:] in ",." and chunk[-2:-1].isalpha():
             ids = self[chunk[:-1]] + self[chunk[-1]]
-        elif chunk.isascii() and (low := chunk.lower()) != chunk:
-            ids = self[low]
         else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            low = chunk.lower()
+            if low.isalpha() and max(chunk) < "\u0250":
+                ids = self.word(low)
+            else:
+                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         self[chunk] = ids
         return ids
 
