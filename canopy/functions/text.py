@@ -1,7 +1,7 @@
 """Text functions, all JVM-side column expressions.
 
-Search normalisation: lower-case, fold Latin diacritics, split on anything that is
-not a letter or digit.  Diacritic folding uses ``translate`` with a table generated
+Search normalisation: lower-case, fold the diacritics of Latin, Greek and Cyrillic letters,
+split on anything that is not a letter, digit, mark or private-use character.  Diacritic folding uses ``translate`` with a table generated
 from Unicode decomposition data (rule-built, not hand-listed), so it stays inside
 whole-stage codegen instead of a Python UDF.
 """
@@ -14,7 +14,10 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+TOKEN_SPLIT = r"[^\p{L}\p{N}\p{M}\p{Co}]+"
+#: marks written after a letter are folded for alphabets whose precomposed letters are folded too;
+#: other scripts keep theirs (they are letters' vowels, not accents)
+FOLD_SCRIPTS = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
 
 
 def _fold_table(lo: int = 0x00C0, hi: int = 0x2000) -> tuple[str, str]:
@@ -36,7 +39,7 @@ FOLD_FROM, FOLD_TO = _fold_table()
 
 def normalize(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.translate(F.lower(c), FOLD_FROM, FOLD_TO)
+    return F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), f"([{FOLD_SCRIPTS}])\\p{{M}}+", "$1")
 
 
 def tokens(col: Column | str) -> Column:
@@ -46,8 +49,8 @@ def tokens(col: Column | str) -> Column:
 
 def py_tokens(text: str) -> list[str]:
     """The same tokeniser for short driver-side strings (query text only)."""
-    low = unicodedata.normalize("NFD", text.lower())
-    low = "".join(c for c in low if not unicodedata.combining(c))
+    low = text.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
+    low = regex.sub(f"([{FOLD_SCRIPTS}])\\p{{M}}+", r"\1", low)
     return [t for t in regex.split(TOKEN_SPLIT, low) if t]
 
 

@@ -389,18 +389,3 @@ def preorder_from_paths(nodes: DataFrame) -> DataFrame:
                        (F.lit(1) + F.coalesce(F.sum("sz").over(w), F.lit(0))).alias("c")))
     pre = anc.join(contrib, [NS, "anc"], "left").groupBy(NS, "path").agg(F.sum(F.coalesce("c", F.lit(0))).alias("s"))
     return pre.select(NS, "path", (F.lit(1) + F.col("s")).cast("bigint").alias("node_id"))
-
-
-def nodes_processed(nodes: DataFrame) -> DataFrame:
-    """The count the reference's command reports: T(leaf) = 1, T(inner) = sum over children of (1 + T(child)).
-
-    Unrolled, T(root) = (nodes - 1) + leaves for an inner root, 1 for a leaf root.
-    """
-    return nodes.groupBy(NS).agg(
-        F.count("*").alias("nodes"), F.count_if(F.col("child_count") == 0).alias("leaves")).select(
-        NS, F.when(F.col("nodes") == 1, F.lit(1)).otherwise(F.col("nodes") - 1 + F.col("leaves"))
-        .alias("nodes_processed"))
-
-
-def level_k(n: int, leaf_target: int, max_k: int) -> int:
-    return min(max_k, math.ceil(n / leaf_target))

@@ -108,11 +108,6 @@ class SearchIndex:
     stats: DataFrame       # namespace, n_docs, avg_len
     extra: dict = field(default_factory=dict)
 
-    def persist(self) -> "SearchIndex":
-        for df in (self.docs, self.postings, self.stats):
-            df.persist()
-        return self
-
     def materialize(self, root: str) -> "SearchIndex":
         """Write the index once and serve searches from the files.
 

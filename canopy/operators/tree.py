@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from canopy.session import cut_lineage
 
 KEY = ["namespace", "node_id"]
-MAX_LEVELS = 64
 
 
 def paths(tree: DataFrame, checkpoint_every: int = 4) -> DataFrame:
@@ -32,14 +31,16 @@ def paths(tree: DataFrame, checkpoint_every: int = 4) -> DataFrame:
     acc = cur
     bound = nodes.agg(F.max("depth")).first()[0] or 0
     level = 0
-    while level < MAX_LEVELS:
+    while True:  # a node has one parent, so nothing reached from a root is reached twice
         level += 1
         nxt = (edges.join(cur.select("namespace", F.col("node_id").alias("parent_id"), F.col("path").alias("pp")),
                           ["namespace", "parent_id"])
                .select(*KEY, F.concat("pp", F.array("node_id")).alias("path")))
         if level > bound and nxt.isEmpty():
             break
-        if level % checkpoint_every == 0 and level < bound:    # deep trees: keep the plan short
+        if level > 12:    # deep trees: keep the plan short
+            nxt = cut_lineage(nxt)
+        elif level % checkpoint_every == 0:
             nxt = cut_lineage(nxt)
             acc = cut_lineage(acc)
         acc = acc.unionByName(nxt)
@@ -56,14 +57,20 @@ def closure(tree: DataFrame, include_self: bool = True, path_df: DataFrame | Non
 
 
 def ancestors(tree: DataFrame, namespace: str, node_id: int) -> DataFrame:
-    """Ancestors of one node, nearest first, self excluded (one join per level)."""
+    """Ancestors of one node, nearest first, self excluded (one join per level); a cycle is an error."""
     me = tree.where((F.col("namespace") == namespace) & (F.col("node_id") == node_id))
     cur = me.select("namespace", F.col("parent_id").alias("node_id"), F.lit(1).alias("distance"))
-    acc = None
-    for _ in range(MAX_LEVELS):
+    acc, seen = None, {node_id}
+    while True:
         hit = tree.join(cur, KEY).select(tree["*"], "distance")
-        if hit.isEmpty():
+        above = hit.select("node_id").first()
+        if above is None:
             break
+        if above[0] in seen:
+            raise ValueError(f"node {node_id} of {namespace!r} is below itself")
+        seen.add(above[0])
+        if len(seen) % 8 == 0:
+            hit, acc = cut_lineage(hit), cut_lineage(acc)
         acc = hit if acc is None else acc.unionByName(hit)
         cur = hit.where(F.col("parent_id").isNotNull()).select(
             "namespace", F.col("parent_id").alias("node_id"), (F.col("distance") + 1).alias("distance"))

@@ -365,12 +365,3 @@ def small_set_projection(groups: DataFrame, keys: Sequence[str], order: str) ->
               .withColumn("group_size", F.count("*").over(w)))
     return ranked.join(F.broadcast(shape_table(spark, SMALL_SET_SHAPES)), ["group_size", "rank"]).select(
         *keys, order, "x", "y", "z")
-
-
-# --- I12: guards -------------------------------------------------------------------
-
-def require_vectors(df: DataFrame, vec: str, at_least: int, what: str) -> int:
-    n = df.where(F.col(vec).isNotNull()).count()
-    if n < at_least:
-        raise ValueError(f"{what}: need at least {at_least} vectors, found {n}")
-    return n

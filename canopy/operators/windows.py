@@ -42,15 +42,3 @@ def grouped_prefix_sum(df: DataFrame, keys: Sequence[str], order_col: str, value
     return (within.join(offsets, [*keys, blk])
             .withColumn(out_col, F.col("__boff") + F.col("__within"))
             .drop(blk, "__within", "__boff"))
-
-
-def budget_rank(df: DataFrame, order: Sequence[Column | str], limit: int | None,
-                rank_col: str = "work_rank") -> DataFrame:
-    """Global work budget across passes: keep the first ``limit`` rows in ``order``.
-
-    ``limit=None`` keeps all.  A bounded ``limit`` is planned as a TakeOrdered
-    (top-k per partition, then merge) — the limit is the feature here.
-    """
-    if limit is None:
-        return df
-    return df.orderBy(*order).limit(limit)

@@ -134,7 +134,7 @@ def geometric_projection(spark, d):
 
 
 @register("log_length_normalise", V("""SELECT vec_id AS page_id, list_transform(v, lambda x: round(x * CASE WHEN n >= 1
-    THEN 1 + ln(n) ELSE 1.0 END / greatest(n, 1e-8), 6)) AS vec FROM (
+    THEN 1 + ln(n) ELSE 1.0 END / greatest(n, 1e-8), 6) + 0.0) AS vec FROM (
   SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * label / 3.0) AS v FROM embeddings))"""))
 def log_length_normalise(spark, d):

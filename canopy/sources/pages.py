@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import json
 import tarfile
@@ -112,7 +111,7 @@ def write_archives(page_log: DataFrame, path: str) -> DataFrame:
 def read_archives(archives: DataFrame, all_members: bool = False, batch_rows: int = 10000) -> DataFrame:
     """A2: (namespace, chunk_name, archive) -> page_log rows, streaming each archive in its own task.
 
-    Only the first member is read unless ``all_members``.  Lines without an id are dropped
+    Only the first member is read unless ``all_members``.  A record without an id is an error
     (see ``read_page_records`` for the quarantine variant)."""
     n = max(archives.count(), 1)
     spread = archives.repartition(n)          # round robin: one archive per task
@@ -134,7 +133,7 @@ def read_archives(archives: DataFrame, all_members: bool = False, batch_rows: in
                             rec = json.loads(line)
                             pid = rec.get("identifier", rec.get("id"))
                             if pid is None:
-                                continue
+                                raise ValueError(f"record without an id in {r.archive}")
                             rows.append((r.namespace, int(pid), rec.get("name"), r.chunk_name, rec.get("url"),
                                          rec.get("abstract")))
                             if len(rows) >= batch_rows:
@@ -187,7 +186,3 @@ def encode_f32(v: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_f32(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else np.frombuffer(x, dtype="<f4").tolist())
-
-
-def gzip_lines(lines: list[str]) -> bytes:
-    return gzip.compress(("\n".join(lines) + "\n").encode("utf-8"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,8 +108,10 @@ def run_state_stream(spark: SparkSession, source: str, state_root: str, checkpoi
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # nothing written yet
+            return None
+        raise
 
 
 def read_state(spark: SparkSession, state_root: str, upto: int | None = None) -> DataFrame:
