@@ -5,16 +5,20 @@ Per level:
 
 1. node sizes by path; nodes with more than ``leaf_target`` pages (and depth below
    ``max_depth``) split into k = min(max_k, ceil(n / leaf_target)) clusters;
-2. seeds: k-means++ on a bounded per-node sample (the ``sample_factor * k`` pages
-   first in a seeded hash order; WindowGroupLimit keeps the shuffle bounded);
+2. seeds: the k pages first in a seeded hash order over all pages of the node
+   (WindowGroupLimit keeps the shuffle at k rows per node and task);
 3. Lloyd steps for all splitting nodes at once: points join their node's packed
    centres, nearest centre by array arithmetic, new centres by ``Summarizer``
-   means; a centre that loses all points keeps its position; stop at ``tol``;
+   means; a centre that loses all points keeps its position; a node stops at
+   ``tol`` of its own variance;
 4. exact cosine silhouette per node in closed form; a node whose silhouette is
    below the threshold (or with a single non-empty cluster) stays a leaf, with
    the mean of its k centres as centroid;
 5. pages of accepted nodes move one level down (path + [cluster]).
 
+A node of at most ``local_cap`` pages goes through the same steps, with the same seeds and
+stop rule, inside one task; the cap decides where a node is computed, not its result.
+
 Lineage is cut with reliable checkpoints after every level and every few Lloyd
 steps; nothing is collected to the driver except per-level scalars.  Afterwards
 node ids are assigned in depth-first pre-order (root = 1 per namespace).
@@ -45,47 +49,22 @@ class ClusterParams:
     max_iter: int = 50
     tol: float = 1e-4          # relative to the mean per-feature variance of the node's points
     seed: int = 42
-    sample_factor: int = 20
-    local_cap: int = 20000     # nodes up to this many pages are clustered inside one task
+    local_cap: int = 5000      # nodes up to this many pages are clustered inside one task
 
 
 # --- seeding ----------------------------------------------------------------------
 
-def _kmeans_pp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    n = len(x)
-    first = int(rng.integers(n))
-    centres = [x[first]]
-    d2 = ((x - centres[0]) ** 2).sum(axis=1)
-    for _ in range(1, min(k, n)):
-        total = d2.sum()
-        if total <= 0:
-            break
-        nxt = int(rng.choice(n, p=d2 / total))
-        centres.append(x[nxt])
-        d2 = np.minimum(d2, ((x - x[nxt]) ** 2).sum(axis=1))
-    return np.vstack(centres)
+def _seed_order(params: ClusterParams):
+    return F.xxhash64(F.col("page_id"), F.lit(params.seed))
 
 
 def seed_centres(points: DataFrame, nodes: DataFrame, params: ClusterParams) -> DataFrame:
-    """(namespace, path, cid, vec) initial centres from a bounded, seeded sample per node."""
-    cap = params.sample_factor * params.max_k
-    order = F.xxhash64(F.col("page_id"), F.lit(params.seed))
+    """(namespace, path, cid, vec): the first k pages of each node in a seeded order of all its pages."""
     from canopy.operators.windows import first_n_per_group
-    sample = first_n_per_group(points.select(NS, "path", "page_id", "x"), [NS, "path"], [order, "page_id"], cap)
-    sample = sample.join(nodes.select(NS, "path", "k"), [NS, "path"]).where(
-        F.col("rn") <= F.col("k") * params.sample_factor)
-    seed = params.seed
-
-    def init(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        x = np.vstack(pdf["x"].to_numpy()).astype(np.float64)
-        k = int(pdf["k"].iloc[0])
-        c = _kmeans_pp(x, k, np.random.default_rng(seed))
-        return pd.DataFrame({NS: pdf[NS].iloc[0], "path": [pdf["path"].iloc[0]] * len(c),
-                             "cid": np.arange(len(c), dtype=np.int32), "vec": list(c)})
-
-    return sample.groupBy(NS, "path").applyInPandas(
-        init, f"{NS} string, path array<int>, cid int, vec array<double>")
+    first = first_n_per_group(points.select(NS, "path", "page_id", "x"), [NS, "path"],
+                              [_seed_order(params), "page_id"], params.max_k)
+    return first.join(nodes.select(NS, "path", "k"), [NS, "path"]).where(F.col("rn") <= F.col("k")) \
+        .select(NS, "path", (F.col("rn") - 1).cast("int").alias("cid"), F.col("x").alias("vec"))
 
 
 # --- nodes that fit one task: k-means + silhouette in numpy ------------------------------
@@ -144,7 +123,7 @@ def local_subtrees(points: DataFrame, nodes: DataFrame, params: ClusterParams) -
     p = params
 
     def grow_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_id").reset_index(drop=True)
+        pdf = pdf.sort_values(["h", "page_id"]).reset_index(drop=True)
         x = np.vstack(pdf["x"].to_numpy()).astype(np.float64)
         base = list(pdf["path"].iloc[0])
         ns = pdf[NS].iloc[0]
@@ -159,8 +138,7 @@ def local_subtrees(points: DataFrame, nodes: DataFrame, params: ClusterParams) -
                     page_path[i] = base + rel
                 return
             xs = x[idx]
-            c0 = _kmeans_pp(xs, k, np.random.default_rng(p.seed))
-            c, lab = _lloyd_np(xs, c0, p.max_iter, p.tol * float(xs.var(axis=0).mean()))
+            c, lab = _lloyd_np(xs, xs[:k].copy(), p.max_iter, p.tol * float(xs.var(axis=0).mean()))
             sil = silhouette_np(xs, lab)
             node_rows.append((base + rel, None if np.isnan(sil) else sil, c.mean(axis=0).tolist()))
             if np.isnan(sil) or sil < p.min_silhouette:
@@ -180,7 +158,7 @@ def local_subtrees(points: DataFrame, nodes: DataFrame, params: ClusterParams) -
                                  "centroid": [r[2] for r in node_rows]})
         return pd.concat([pages, nodes_df], ignore_index=True)
 
-    inp = points.join(nodes.select(NS, "path"), [NS, "path"], "left_semi")
+    inp = points.join(nodes.select(NS, "path"), [NS, "path"], "left_semi").withColumn("h", _seed_order(p))
     return inp.groupBy(NS, "path").applyInPandas(
         grow_all, f"kind string, {NS} string, page_id bigint, x array<double>, path array<int>, "
                   "silhouette double, centroid array<double>")
@@ -192,47 +170,57 @@ def lloyd(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int, params:
           ) -> tuple[DataFrame, DataFrame, int]:
     """Run Lloyd steps for all nodes at once -> (centres, assignment, iterations).
 
-    Stops when no centre moves more than ``tol`` x (mean feature variance) squared distance.
+    A node stops when none of its centres moves more than ``tol`` x (its mean feature variance)
+    squared distance; the others go on.
     """
     keys = [NS, "path"]
-    var = points.select(Vx.array_to_vector("x").alias("v")).select(
-        Vx.Summarizer.variance(F.col("v")).alias("var")).first()["var"]
-    tol_abs = params.tol * (float(sum(var.toArray())) / max(len(var.toArray()), 1) if var is not None else 0.0)
+    var = Vx.Summarizer.variance(F.col("v"))
+    limits = (points.select(*keys, Vx.array_to_vector("x").alias("v")).groupBy(*keys)
+              .agg(Vx.vector_to_array(var).alias("var"), F.count("*").alias("n"))
+              .select(*keys, (F.lit(params.tol) * (F.col("n") - 1) / F.col("n")
+                              * F.aggregate("var", F.lit(0.0), lambda a, v: a + v) / dim).alias("limit")))
+    limits = cut_lineage(limits)
     if centres.count() * (8 * dim + 64) <= Vx.BROADCAST_BUDGET_BYTES:
-        return _lloyd_broadcast(points, centres, params, tol_abs)
+        return _lloyd_broadcast(points, centres, params, limits)
     it = 0
+    live = limits
     for it in range(1, params.max_iter + 1):
-        asg = _assign(points, centres, n_nodes, dim)
+        moving = points.join(live.select(*keys), keys, "left_semi")
+        asg = _assign(moving, centres, n_nodes, dim)
         moved = Vx.lloyd_update(asg, keys, "x", "cid").select(*keys, "cid", "vec")
         kept = centres.join(moved.select(*keys, "cid"), [*keys, "cid"], "left_anti")
         # the centre table is small (k rows per splitting node): checkpoint it every step so the
         # plan never nests previous iterations (each step reads the old centres twice)
         new = cut_lineage(moved.unionByName(kept))
         shift = (new.alias("n").join(centres.alias("o"), [*keys, "cid"])
-                 .agg(F.max(Vx.sqdist(F.col("n.vec"), F.col("o.vec"))).alias("s")).first()["s"] or 0.0)
+                 .groupBy(*keys).agg(F.max(Vx.sqdist(F.col("n.vec"), F.col("o.vec"))).alias("shift")))
+        live = cut_lineage(live.join(shift, keys).where(F.col("shift") > F.col("limit")).drop("shift"))
         centres = new
-        if shift <= tol_abs:
+        if live.isEmpty():
             break
     return centres, _assign(points, centres, n_nodes, dim), it
 
 
-def _lloyd_broadcast(points: DataFrame, centres: DataFrame, params: ClusterParams, tol_abs: float
+def _lloyd_broadcast(points: DataFrame, centres: DataFrame, params: ClusterParams, limits: DataFrame
                      ) -> tuple[DataFrame, DataFrame, int]:
     """Lloyd steps with the (size-checked) centre table kept on the driver and broadcast:
     one distributed job per step (assign + mean), the shift test and lineage cut for free."""
     keys = [NS, "path"]
     packed = Vx.collect_centres(centres, keys, "cid", "vec")
+    limit = {(r[NS], tuple(r["path"])): r["limit"] for r in limits.collect()}  # one row per node in the table
+    live = set(packed)
     it = 0
     for it in range(1, params.max_iter + 1):
-        asg = Vx.assign_packed(points, packed, keys, "x", "cid").drop("dist2")
+        asg = Vx.assign_packed(points, {k: packed[k] for k in live}, keys, "x", "cid").drop("dist2")
         means = Vx.lloyd_update(asg, keys, "x", "cid").select(*keys, "cid", "vec").collect()
-        new = {k: (ids, c.copy()) for k, (ids, c) in packed.items()}
+        new = {k: (packed[k][0], packed[k][1].copy()) for k in live}
         for r in means:                       # a centre without points keeps its position
             ids, c = new[(r[NS], tuple(r["path"]))]
             c[int(np.searchsorted(ids, r["cid"]))] = np.asarray(r["vec"], dtype=np.float64)
-        shift = max((float(((new[k][1] - packed[k][1]) ** 2).sum(axis=1).max()) for k in packed), default=0.0)
-        packed = new
-        if shift <= tol_abs:
+        shift = {k: float(((new[k][1] - packed[k][1]) ** 2).sum(axis=1).max()) for k in live}
+        packed.update(new)
+        live = {k for k in live if shift[k] > limit[k]}
+        if not live:
             break
     rows = [(k[0], list(k[1]), int(i), c.tolist()) for k, (ids, cs) in packed.items() for i, c in zip(ids, cs)]
     spark = points.sparkSession
