@@ -107,8 +107,12 @@ def project_groups(df: DataFrame, keys: Sequence[str], row_id: str, vec: str, k:
     base = df.where(F.col(vec).isNotNull()).select(*keys, row_id, as_double(vec).alias("__x"))
     sizes = base.groupBy(*keys).agg(F.count("*").alias("__n"))
     tagged = base.join(sizes, keys)
-    small = tagged.where(F.col("__n") <= small_cap).drop("__n")
-    large = tagged.where(F.col("__n") > small_cap).drop("__n")
+    # too few rows or components for k axes: the raw components, zero padded, whatever the group's size
+    narrow = (F.size("__x") < k) | (F.col("__n") < k)
+    raw = F.slice(F.concat("__x", F.array_repeat(F.lit(0.0), k)), 1, k)
+    narrow_res = tagged.where(narrow).select(*keys, row_id, raw.alias(out))
+    small = tagged.where(~narrow & (F.col("__n") <= small_cap)).drop("__n")
+    large = tagged.where(~narrow & (F.col("__n") > small_cap)).drop("__n")
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "__x"]
                        + [f"{out} array<double>"])
@@ -123,7 +127,7 @@ def project_groups(df: DataFrame, keys: Sequence[str], row_id: str, vec: str, k:
 
     small_res = small.groupBy(*keys).applyInPandas(solve, schema)
     large_res = _project_large(large, keys, row_id, k, out)
-    return small_res.unionByName(large_res)
+    return small_res.unionByName(large_res).unionByName(narrow_res)
 
 
 def _project_large(large: DataFrame, keys: list[str], row_id: str, k: int, out: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopy.functions import text
-from canopy.operators import tree
+from canopy.operators import pca, tree
 from canopy.streaming import articles
 from tests.oracle import _norm
 
@@ -37,6 +37,15 @@ def test_cycle_is_an_error(spark):
         tree.ancestors(nodes, "n", 1)
 
 
+def test_narrow_vectors_project_alike_at_any_cap(spark):
+    rows = [("n", 1, k, [float(k), k / 2]) for k in range(12)] + [("n", 2, 50 + k, [1.0, 2.0, 3.0, float(k)]) for k in range(2)]
+    df = spark.createDataFrame(rows, "namespace string, node_id long, page_id long, v array<double>")
+    keys = ["namespace", "node_id"]
+    small, large = (sorted((r.page_id, tuple(r.three_d)) for r in pca.project_groups(
+        df, keys, "page_id", "v", 3, small_cap=cap).collect()) for cap in (100, 0))
+    assert small == large and small[3] == (3, (3.0, 1.5, 0.0)) and small[-1] == (51, (1.0, 2.0, 3.0))
+
+
 def test_comparison_sees_the_sign_of_zero():
     assert _norm([0.0, 1.0]) != _norm([-0.0, 1.0])
 
