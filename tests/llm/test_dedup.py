@@ -49,7 +49,7 @@ def _random_docs():
 
 @pytest.mark.parametrize("settings", [
     suffix.Settings(), suffix.Settings(chunk_bytes=1500, spread=1, transform_symbols=2000),
-    suffix.Settings(chunk_bytes=1500, hot_chunks=3)])
+    suffix.Settings(chunk_bytes=1500, hot_texts=3)])
 def test_suffix_equals_brute_force(spark, settings):
     docs = _random_docs()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
