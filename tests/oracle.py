@@ -7,15 +7,16 @@ import duckdb
 from canopy import tables
 
 
-def _norm(v):
+def _norm(v, inside=False):
+    """Comparable form of a value; the sign of zero counts inside arrays, as in the driver's comparison."""
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else repr(round(v, 6))  # keeps the sign of zero
+        return None if math.isnan(v) else repr(round(v, 6) if inside else round(v, 6) + 0.0)
     if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+        return tuple(_norm(x, True) for x in v)
     if hasattr(v, "tolist"):
-        return _norm(v.tolist())
+        return _norm(v.tolist(), inside)
     if hasattr(v, "asDict"):
         return tuple(sorted((k, _norm(x)) for k, x in v.asDict().items()))
     if hasattr(v, "isoformat"):
