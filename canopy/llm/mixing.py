@@ -183,6 +183,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         last = F.least((j + 1) * mix.block - F.col("at"), F.col("size"))
         return F.array_join(F.slice("parts", (first + 1).cast("int"), (last - first).cast("int")), "")
 
-    text = F.array_join(F.transform("picked", words_of), "")
+    # a second use of ``parts`` keeps the optimizer from splitting the text anew for every block
+    text = F.when(F.size("parts") > 0, F.array_join(F.transform("picked", words_of), ""))
     return passes.withColumn("taken_text", text).select(
         *(F.col("taken_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
