@@ -101,6 +101,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
         memo = _MEMOS.get(tokenizer_path) or _MEMOS.setdefault(tokenizer_path, _Memo(tokenizer_path))
         for batch in batches:
             rows: list[tuple] = []
+            held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = encode(text.as_py(), memo) + end
                 n, at = len(data) // 4, 0
@@ -109,9 +110,10 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
                     rows.append((doc_id, at, length, zlib.crc32(piece), n, length.bit_length() - 1,
                                  np.frombuffer(piece, "<i4") if with_ids else None))
                     at += length
-                if len(rows) >= 20_000:
+                held += len(data) if with_ids else 0
+                if len(rows) >= 20_000 or held >= 16 << 20:
                     yield _batch(rows)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield _batch(rows)
 

@@ -48,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two sequences of at most 2048 ids, a document in each."""
-    return packing.pack(docs, packing.public_tokenizer(), with_ids=False).drop("ids")
+    """Power-of-two sequences of at most 2048 ids, a document in each, with their ids."""
+    return packing.pack(docs, packing.public_tokenizer())
 
 
 STAGES = [

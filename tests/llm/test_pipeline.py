@@ -1,5 +1,6 @@
 """The pipeline's stages against plain Python on the same rows."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import numpy as np
 import corpus_pipeline
 from canopy.llm import mixing, packing, toxicity
 from pyspark.sql import functions as F
-from tests.llm.conftest import SMALL
+from tests.llm.conftest import DOCS, SMALL
 from tests.llm.test_dedup import brute_components
 
 
@@ -60,6 +61,15 @@ def test_pipeline_equals_plain_python(spark):
     assert rows == Counter((r.doc_id, len(packing.encode(r.text, memo)) // 4 + 1) for r in out["mix_sources"].collect())
 
 
+def test_last_stage_keeps_the_sequences(spark, odd_docs):
+    rows = corpus_pipeline.pack_sequences(spark, odd_docs, SMALL).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    memo = packing._Memo(packing.public_tokenizer())
+    for i, text in {d[0]: d[1] for d in DOCS if d[0] in (1, 3, 8, 9, 10)}.items():
+        got = [x for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start) for x in r.ids]
+        assert got == [*np.frombuffer(packing.encode(text or "", memo), "<u4").tolist(), packing.END_ID]
+
+
 def test_stages_on_odd_and_empty_tables(spark, odd_docs):
     plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for rows in (plain, plain.limit(0), odd_docs):
