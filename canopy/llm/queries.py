@@ -37,7 +37,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels, "toxic", fifth != 0)
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(fifth == 0, F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        toxicity.toxic(F.col("score")).cast("int").alias("predicted"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

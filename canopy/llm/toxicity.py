@@ -12,8 +12,9 @@ L1 penalty leaves raw scores too low.
 
 Cases: a null or empty text has no features and its score is the bias alone; rows with a
 null id, text or label are not learned from; a document with several labels is learned from
-once per label; without training rows every score is 0.5 or less and predicts 0; repeated
-rows are scored one by one; an empty table gives no rows; further columns are ignored.
+once per label; training rows that are none, too few for any feature to get a weight or all of
+one label are no evidence: no score is over 0.5, and 0.5 itself predicts 0; repeated rows are
+scored one by one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,12 +134,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, s: Se
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [(np.append(f, 1 << s.bits).astype(np.int64), int(y))
                 for b in batches for f, y in zip(b["f"], b["y"])]
-        z, n = ftrl((r for k, r in enumerate(held) if k % s.calibrate != s.calibrate - 1), s)
-        w = weights(z, n, s)
+        seen = [r for k, r in enumerate(held) if k % s.calibrate != s.calibrate - 1]
+        z, n = ftrl(iter(seen), s)
+        # rows of one label tell nothing apart, nor does a bias alone
+        w = weights(z, n, s) if len({y for _, y in seen}) > 1 else np.zeros((1 << s.bits) + 1)
         aside = held[s.calibrate - 1::s.calibrate]
         slope, offset = scale(np.array([w[f].sum() for f, _ in aside]), np.array([y for _, y in aside]), s)
         w *= slope
         w[-1] += offset
+        if not w[:-1].any():
+            w[-1] = min(w[-1], 0.0)
         hit = np.flatnonzero(w)
         yield pd.DataFrame({"i": hit, "w": w[hit]})
 
@@ -176,6 +181,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", run(F.col("text").cast("string")).alias("score"))
 
 
+def toxic(score: Column) -> Column:
+    """Whether a score predicts label 1: only over one half, the score of a text without evidence."""
+    return score > 0.5
+
+
 def remainder(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m`` (null for a null id)."""
     return F.crc32(doc_id.cast("string")) % m

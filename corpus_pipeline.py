@@ -26,10 +26,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half."""
+    """Documents that are not predicted toxic; all of them if the labels give no evidence."""
     learn = toxicity.remainder(F.col("doc_id"), 5) != 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", learn)
-    return docs.filter(toxicity.scorer(spark, model)(F.col("text").cast("string")) < 0.5)
+    return docs.filter(~toxicity.toxic(toxicity.scorer(spark, model)(F.col("text").cast("string"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from canopy.llm import chat, langid, mixing, packing, quality, topk, toxicity, warc
 from canopy.llm.queries import ORACLES, QUERIES
 from canopy.sources.scratch import scratch_dir
@@ -262,3 +263,17 @@ def test_toxicity_odd_rows(spark, odd_docs):
     blank = toxicity.fit(odd_docs, labels.limit(0), "toxic", F.lit(True))
     assert {r.score for r in toxicity.score(odd_docs, blank).collect()} == {0.5}
     assert toxicity.score(odd_docs.limit(0), model).count() == 0
+
+
+LABELS = {"empty": [], "null": [(1, None), (8, None)], "one": [(1, 1)], "tiny": [(1, 1), (8, 0), (11, 0), (9, 1)],
+          "one label": [(1, 1)] * 12, "bias alone": [(6, 0), *[(i, 1) for i in (1, 2, 8, 9, 10, 11)]]}
+
+
+@pytest.mark.parametrize("labels", sorted(LABELS))
+def test_labels_without_evidence_predict_0_and_drop_nothing(spark, odd_docs, labels):
+    folder = scratch_dir(spark, f"toxicity-{labels.replace(' ', '-')}")
+    odd_docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(LABELS[labels], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rows = QUERIES["op3_toxicity"](spark, folder).collect()
+    assert len(rows) == len(DOCS) and {r.predicted for r in rows} == {0}
+    assert corpus_pipeline.drop_toxic(spark, odd_docs, folder).count() == len(DOCS)
