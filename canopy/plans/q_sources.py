@@ -131,7 +131,7 @@ def explode_categories(spark, d):
        CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos,
        role AS name, 'turn' AS type, text AS value FROM conversations"""))
 def structured_sections(spark, d):
-    """Nested structured records (sections with parts) written and flattened back."""
+    """Nested structured records (sections with parts) written and flattened back, every level."""
     root = scratch_dir(spark, "structured")
     conv = tables.read(spark, d, "conversations")
     rec = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
@@ -140,8 +140,7 @@ def structured_sections(spark, d):
                F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"),
                                                    x["value"].alias("value"))).alias("sections")) \
         .write.mode("overwrite").json(root)
-    sc = spark.read.schema(A.STRUCTURED).json(root)
-    return A.flatten(sc, ["identifier"], "sections").select("identifier", "pos", "name", "type", "value")
+    return A.unfold_parts(A.read_structured(spark, root), ["identifier"], "sections").select("identifier", "pos", "name", "type", "value")
 
 
 def _events_written(spark, d):

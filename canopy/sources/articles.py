@@ -49,16 +49,33 @@ ARTICLE = T.StructType([
         T.StructField("offset", L)])),
 ])
 
-# structured contents: bounded-depth parts (two levels), deeper tails kept as JSON text
-PART_LEAF = T.StructType([T.StructField("name", S), T.StructField("type", S), T.StructField("value", S),
-                          T.StructField("links", T.ArrayType(_s("url", "text")))])
-PART = T.StructType(PART_LEAF.fields + [T.StructField("has_parts", T.ArrayType(PART_LEAF))])
+# structured contents: parts and tables nest without a bound, so these fields are read as JSON text;
+# parts are unfolded level by level (unfold_parts), the others stay text
+_IMAGES = T.ArrayType(T.StructType([
+    T.StructField("content_url", S), T.StructField("contentUrl", S), T.StructField("alternative_text", S),
+    T.StructField("alternativeText", S), T.StructField("caption", S), T.StructField("width", L),
+    T.StructField("height", L)]))
+PART = T.StructType([
+    T.StructField("name", S), T.StructField("type", S), T.StructField("value", S),
+    T.StructField("values", T.ArrayType(S)), T.StructField("images", _IMAGES),
+    T.StructField("links", T.ArrayType(T.StructType([
+        T.StructField("url", S), T.StructField("text", S), T.StructField("images", _IMAGES)]))),
+    T.StructField("citations", T.ArrayType(_s("identifier", "group", "text"))),
+    T.StructField("has_parts", S), T.StructField("hasParts", S)])
+PARTS = T.ArrayType(PART)
+#: column -> its spellings in the files
+STRUCTURED_NAMES = {
+    "name": ["name"], "identifier": ["identifier"], "url": ["url"], "abstract": ["abstract"],
+    "description": ["description"], "date_created": ["date_created", "dateCreated"],
+    "date_modified": ["date_modified", "dateModified"], "in_language": ["in_language", "inLanguage"],
+    "version": ["version"], "is_part_of": ["is_part_of", "isPartOf"], "main_entity": ["main_entity", "mainEntity"],
+    "additional_entities": ["additional_entities", "additionalEntities"], "image": ["image"],
+    "infobox": ["infobox", "infoboxes"], "sections": ["sections", "article_sections", "articleSections"],
+    "tables": ["tables"], "references": ["references"],
+}
 STRUCTURED = T.StructType([
-    T.StructField("name", S), T.StructField("identifier", L), T.StructField("url", S),
-    T.StructField("date_modified", S), T.StructField("in_language", _s("identifier")),
-    T.StructField("infobox", T.ArrayType(PART)),
-    T.StructField("sections", T.ArrayType(PART)),
-])
+    T.StructField(n, {"identifier": L, "in_language": _s("identifier", "name")}.get(c, S))
+    for c, names in STRUCTURED_NAMES.items() for n in names])
 
 
 def iso_ts(c: Column | str) -> Column:
@@ -73,6 +90,40 @@ def read_articles(spark: SparkSession, path: str, schema: T.StructType = ARTICLE
     return df.withColumn("date_modified_ts", iso_ts("date_modified"))
 
 
+def read_structured(spark: SparkSession, path: str) -> DataFrame:
+    """Structured contents in either spelling; nested fields are JSON text."""
+    df = spark.read.schema(STRUCTURED).json(path)
+    return df.select(*[F.coalesce(*names).alias(c) for c, names in STRUCTURED_NAMES.items()])
+
+
+def _parts(*texts: str) -> Column:
+    """The parts in JSON texts (null: none); text that does not fit the schema is an error, not a loss."""
+    none = F.array().cast(PARTS)
+    return F.concat(*[F.coalesce(F.from_json(t, PARTS, {"mode": "FAILFAST"}), none) for t in texts])
+
+
+def unfold_parts(df: DataFrame, keys: Sequence[str], collection: str) -> DataFrame:
+    """One row per part of every level; ``path`` holds the positions from the top, ``pos`` the last of them.
+
+    A job per level, until a level has no parts.  Records without parts keep a row with a null path.
+    """
+    fields = [f for f in PART.fieldNames() if f not in ("has_parts", "hasParts")]
+
+    def level(ex: DataFrame, path: Column) -> DataFrame:
+        return ex.select(*keys, F.when(F.col("pos").isNotNull(), path).alias("path"), "pos", F.col("__e.*"))
+
+    top = df.select(*keys, F.posexplode_outer(_parts(collection)).alias("pos", "__e"))
+    rows = level(top, F.array("pos"))
+    out = rows.select(*keys, "path", "pos", *fields)
+    while True:
+        inner = rows.where("has_parts IS NOT NULL OR hasParts IS NOT NULL").select(
+            *keys, F.col("path").alias("__path"), F.posexplode(_parts("has_parts", "hasParts")).alias("pos", "__e"))
+        rows = level(inner, F.concat("__path", F.array("pos"))).checkpoint()
+        if rows.isEmpty():
+            return out
+        out = out.unionByName(rows.select(*keys, "path", "pos", *fields))
+
+
 @dataclass
 class Filter:
     field: str
