@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from canopy.llm import chat, langid, mixing, oracles, packing, quality, simhash, suffix, topk, toxicity, warc
+from canopy.llm import (
+    chat, langid, merkle, mixing, oracles, packing, quality, runs, simhash, suffix, topk, toxicity, warc)
 from canopy.llm.common import table
 from canopy.sources.scratch import scratch_dir
 
@@ -90,6 +91,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(fourth == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, a tenth of the documents made periodic first."""
+    return runs.run_digests(table(spark, sf_dir, "documents"), loop=True)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof in the Merkle manifest, and what a claim of one more character folds to."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.verified_documents(table(spark, sf_dir, "documents"), tampered)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline, one after the other, over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -98,7 +110,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_warc_archive, op3_toxicity, op4_mix_sources, op5_packing, op6_top_k, op7_chat_format,
-        op8_quality_rules, op9_suffix_dedup, op10_language_id, pipeline)}
+        op8_quality_rules, op9_suffix_dedup, op10_language_id, op11_periodic_runs,
+        op13_merkle_manifest, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": oracles.warc_sql(),
