@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from canopy.llm import (
-    chat, langid, merkle, mixing, oracles, packing, quality, runs, simhash, suffix, topk, toxicity, warc)
+    chat, langid, merkle, minhash, mixing, oracles, packing, quality, runs, simhash, suffix, topk, toxicity, warc)
 from canopy.llm.common import table
 from canopy.sources.scratch import scratch_dir
 
@@ -96,6 +96,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(table(spark, sf_dir, "documents"), loop=True)
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and the smallest id it is linked to at a similarity of 0.8."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, roots and proof in the Merkle manifest, and what a claim of one more character folds to."""
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
@@ -111,7 +117,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_warc_archive, op3_toxicity, op4_mix_sources, op5_packing, op6_top_k, op7_chat_format,
         op8_quality_rules, op9_suffix_dedup, op10_language_id, op11_periodic_runs,
-        op13_merkle_manifest, pipeline)}
+        op12_minhash_near_dedup, op13_merkle_manifest, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": oracles.warc_sql(),
