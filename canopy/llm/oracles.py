@@ -112,3 +112,67 @@ def top_k_sql(k: int = 20) -> str:
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
+def near_sql(percent: int = 80, size: int = 4) -> str:
+    return f"""
+    WITH RECURSIVE d AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '{WORD}') AS w FROM documents),
+    g AS (SELECT DISTINCT r, array_to_string(w[i:i + {size - 1}], ' ') AS g
+          FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    s AS (SELECT r, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS sig FROM g GROUP BY r),
+    o AS (SELECT sig, any_value(n) AS n, min(r) AS r FROM s GROUP BY sig),
+    i AS (SELECT o.sig, o.n, g.g FROM o JOIN g ON g.r = o.r),
+    l AS (SELECT a.sig AS a, b.sig AS b FROM i a JOIN i b ON a.g = b.g AND a.sig <> b.sig
+          GROUP BY a.sig, b.sig, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+    reach AS (SELECT sig AS a, sig AS b FROM o UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+    low AS (SELECT reach.a AS sig, min(d.doc_id) AS component_id
+            FROM reach JOIN s ON s.sig = reach.b JOIN d ON d.r = s.r GROUP BY reach.a)
+    SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles,
+           CASE WHEN s.sig IS NULL THEN d.doc_id ELSE low.component_id END AS component_id,
+           (CASE WHEN s.sig IS NULL THEN d.doc_id ELSE low.component_id END IS NOT DISTINCT FROM d.doc_id) AS kept
+    FROM d LEFT JOIN s ON s.r = d.r LEFT JOIN low ON low.sig = s.sig"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
+            "lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))")
+
+
+def merkle_sql() -> str:
+    def encoded(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    leaf = " || ".join(encoded(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    more = " || ".join(encoded(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))
+    return f"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({leaf}) AS leaf,
+             CASE WHEN n_chars IS NOT NULL AND ({crc32_sql('doc_id::VARCHAR')}) % 7 = 0 THEN sha256({more}) END AS other
+      FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k,
+                 count(*) OVER (PARTITION BY g) AS n FROM d),
+    t AS (SELECT g, 0 AS lev, k, n, leaf AS h FROM r
+          UNION ALL
+          SELECT g, lev + 1, k // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY k)) FROM t WHERE n > 1 GROUP BY g, lev, k // 2),
+    s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (SELECT 0 AS lev, k, n, h FROM s
+          UNION ALL
+          SELECT lev + 1, k // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY k)) FROM u WHERE n > 1 GROUP BY lev, k // 2),
+    a AS (SELECT g, 0 AS lev, k, n, leaf, '' AS proof, coalesce(other, leaf) AS f, doc_id, k AS k0 FROM r
+          UNION ALL
+          SELECT a.g, a.lev + 1, a.k // 2, (a.n + 1) // 2, a.leaf, a.proof || coalesce(b.h, ''),
+                 sha256(CASE WHEN a.k % 2 = 0 THEN a.f || coalesce(b.h, '') ELSE b.h || a.f END), a.doc_id, a.k0
+          FROM a LEFT JOIN t b ON b.g = a.g AND b.lev = a.lev AND b.k = xor(a.k, 1) WHERE a.n > 1),
+    b AS (SELECT 0 AS lev, s.k, s.n, a.leaf, a.proof, a.f, a.doc_id, s.h AS subroot
+          FROM a JOIN s ON a.g = s.g WHERE a.n = 1
+          UNION ALL
+          SELECT b.lev + 1, b.k // 2, (b.n + 1) // 2, b.leaf, b.proof || coalesce(c.h, ''),
+                 sha256(CASE WHEN b.k % 2 = 0 THEN b.f || coalesce(c.h, '') ELSE c.h || b.f END), b.doc_id, b.subroot
+          FROM b LEFT JOIN u c ON c.lev = b.lev AND c.k = xor(b.k, 1) WHERE b.n > 1)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+    FROM b, (SELECT h AS root FROM u WHERE n = 1) WHERE n = 1"""

@@ -125,4 +125,6 @@ ORACLES: dict[str, str] = {
     "op4_mix_sources": oracles.mix_sql(),
     "op7_chat_format": oracles.chat_sql(),
     "op8_quality_rules": oracles.quality_sql(),
+    "op12_minhash_near_dedup": oracles.near_sql(),
+    "op13_merkle_manifest": oracles.merkle_sql(),
 }
