@@ -4,6 +4,8 @@ A document's ids, with the end id, are cut into as many pieces of ``longest`` id
 and then into the powers of two of what is left, the largest first.  Every piece is a
 sequence of its own; ``bucket`` (the power) groups sequences of equal length into batches.
 
+The strings of special tokens in a text are their ids, as the tokenizer has it by default.
+
 Cases: a null or empty text is the end id alone, one piece of length 1; repeated rows are
 packed like any other; an empty table gives no pieces; further columns are ignored.  A
 document is tokenised in one task; memory is that of its ids.
@@ -33,9 +35,9 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 class _Memo(dict):
     """Chunk between white space -> its ids as little-endian bytes; emptied when it is full.
 
-    The tokenizer lower-cases and never joins ids across white space, and a letter followed
-    by one full stop or comma ends a token of its own, so these parts can be encoded apart.
-    A lower-case Latin word is one pre-token, which the tokenizer's model encodes directly.
+    The tokenizer lower-cases and never joins ids across white space, and a Latin letter that
+    stays one letter when normalised, followed by one full stop or comma, ends a token of its
+    own, so these parts can be encoded apart.  A lower-case Latin word is one pre-token, which the tokenizer's model encodes directly.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
@@ -43,7 +45,6 @@ class _Memo(dict):
         from tokenizers.pre_tokenizers import ByteLevel
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
         self.most = most
@@ -61,7 +62,8 @@ class _Memo(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most // 2:
             self.clear()
-        if chunk[-1:] in ",." and chunk[-2:-1].isalpha():
+        last = chunk[-2:-1]
+        if chunk[-1:] in ",." and last.isalpha() and last < "\u0250" and last != "\u0130":
             ids = self[chunk[:-1]] + self[chunk[-1]]
         else:
             low = chunk.lower()
