@@ -13,8 +13,8 @@ L1 penalty leaves raw scores too low.
 Cases: a null or empty text has no features and its score is the bias alone; rows with a
 null id, text or label are not learned from; a document with several labels is learned from
 once per label; training rows that are none, too few for any feature to get a weight or all of
-one label are no evidence: no score is over 0.5, and 0.5 itself predicts 0; repeated rows are
-scored one by one; an empty table gives no rows; further columns are ignored.
+one label are no evidence: every score is then under 0.5, so nothing is predicted toxic; repeated
+rows are scored one by one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ class Settings:
     #: weight of all rows of label 0 against all of label 1 when it does
     caution: float = 3.0
     most_rows: int = 20_000
+    #: highest bias of a model without any weight
+    no_evidence: float = -1.0
     seed: int = 11
 
 
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, s: Se
     place = F.xxhash64(F.lit(s.seed), "doc_id")
     ids = y.join(text.select("doc_id").distinct(), "doc_id").withColumn("place", place) \
         .orderBy("place", "doc_id", "y").limit(s.most_rows)
-    rows = text.join(ids, "doc_id")
+    rows = text.join(F.broadcast(ids), "doc_id")  # at most ``most_rows`` ids, so no text is shuffled that is not learned from
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -142,8 +144,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, s: Se
         slope, offset = scale(np.array([w[f].sum() for f, _ in aside]), np.array([y for _, y in aside]), s)
         w *= slope
         w[-1] += offset
-        if not w[:-1].any():
-            w[-1] = min(w[-1], 0.0)
         hit = np.flatnonzero(w)
         yield pd.DataFrame({"i": hit, "w": w[hit]})
 
@@ -152,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, s: Se
         .toPandas().sort_values("i")
     bias = got.loc[got["i"] == 1 << s.bits, "w"]
     body = got[got["i"] < 1 << s.bits]
-    return Model(s, body["i"].to_numpy(np.int64), body["w"].to_numpy(float), float(bias.sum()))
+    start = float(bias.sum())
+    return Model(s, body["i"].to_numpy(np.int64), body["w"].to_numpy(float),
+                 start if len(body) else min(start, s.no_evidence))
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -182,8 +184,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxic(score: Column) -> Column:
-    """Whether a score predicts label 1: only over one half, the score of a text without evidence."""
-    return score > 0.5
+    """Whether a score predicts label 1."""
+    return score >= 0.5
 
 
 def remainder(doc_id: Column, m: int) -> Column:
