@@ -6,9 +6,8 @@ computed by a forward pass; a text's is the product over its words.  Probabiliti
 re-estimated from all training texts: a forward-backward pass gives the expected number of
 times each piece is used, and the sums per language and piece are the only thing shuffled.
 
-A word is the lower-cased letters of a chunk between white space; a run of over LONGEST_WORD
-letters is scored in parts of that length.  A character outside the vocabulary counts as a
-piece of a small fixed probability.
+A word is the lower-cased letters of a chunk between white space, however many.  A character
+outside the vocabulary counts as a piece of a small fixed probability.
 
 Cases: a null text, or one without letters, is ``und`` with score 0, as is every text if
 there is nothing to learn from; rows with a null language or a null id are not learned
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 
 SMOOTH = 0.1
 UNKNOWN = 1e-4
-LONGEST_WORD = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,82 +66,132 @@ class Vocabulary:
         return np.where(self.hashes[at] == h, self.order[at], -1)
 
 
+#: Letters times words that one step holds.
+STEP = 170_000
+#: Positions between two rescalings of a pass; a product over so many pieces stays a normal number.
+STRIDE = 8
+
+
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, code points with the leading mark) of the words of each length."""
     lengths = np.array([len(w) for w in words], np.int64)
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        for at in range(0, len(rows), 4096):
-            part = rows[at:at + 4096]
+        most = max(1, min(4096, STEP // (n + 1)))
+        for at in range(0, len(rows), most):
+            part = rows[at:at + most]
             text = "".join("▁" + words[i] for i in part)
             yield part, np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(part), n + 1)
 
 
-def _parts(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words, runs of over LONGEST_WORD letters cut into parts of that length, and whose part each is."""
-    n = LONGEST_WORD
-    cut = [(w[at:at + n], k) for k, w in enumerate(words) for at in range(0, len(w), n)]
-    return [c[0] for c in cut], np.array([c[1] for c in cut], np.int64)
+class _Substrings:
+    """Piece numbers of the substrings of words of one length."""
 
+    def __init__(self, codes: np.ndarray, vocabulary: Vocabulary):
+        self.vocabulary, self.n = vocabulary, codes.shape[1]
+        c = codes.astype(np.uint64) + np.uint64(1)
+        # power sums: hash(i..j) = H[j] - H[i] * base^(j - i)
+        self.pre, self.power = [np.zeros(len(c), np.uint64)], [np.uint64(1)]
+        with np.errstate(over="ignore"):
+            for j in range(self.n):
+                self.pre.append(self.pre[-1] * _BASE + c[:, j])
+            for _ in range(vocabulary.longest):
+                self.power.append(self.power[-1] * _BASE)
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
 
-def _edges(codes: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(end, start, piece numbers) for every substring of the words that may be a piece, by end."""
-    n = codes.shape[1]
-    c = codes.astype(np.uint64) + np.uint64(1)
-    # power sums: hash(i..j) = H[j] - H[i] * base^(j - i)
-    pre = [np.zeros(len(c), np.uint64)]
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            pre.append(pre[-1] * _BASE + c[:, j])
-        for j in range(1, n + 1):
-            power = np.uint64(1)
-            for i in range(j - 1, max(-1, j - 1 - vocabulary.longest), -1):
-                power = power * _BASE
-                yield j, i, vocabulary.find(pre[j] - pre[i] * power)
+    def piece(self, i: int, j: int) -> np.ndarray:
+        """Piece numbers of the characters from i to j, -1 where they are no piece."""
+        got = self.kept.pop((i, j), None)
+        if got is None:
+            with np.errstate(over="ignore"):
+                got = self.vocabulary.find(self.pre[j] - self.pre[i] * self.power[j - i])
+        return got
+
+    def starts(self, j: int) -> range:
+        return range(j - 1, max(-1, j - 1 - self.vocabulary.longest), -1)
+
+    def ends(self, i: int) -> range:
+        return range(i + 1, min(self.n, i + self.vocabulary.longest) + 1)
 
 
 def log_likelihood(words: list[str], vocabulary: Vocabulary, table: np.ndarray) -> np.ndarray:
-    """log P(word | language), one row per word; table: piece probabilities, a last row for unknown ones."""
+    """log P(word | language), one row per word; table: piece probabilities, a last row for unknown ones.
+
+    Only the columns within the longest piece are held, rescaled as they go, so words of any
+    length are summed over all their segmentations.
+    """
     out = np.zeros((len(words), table.shape[1]))
-    parts, owner = _parts(words)
-    for rows, codes in _by_length(parts):
-        n = codes.shape[1]
-        a = np.zeros((n + 1, len(rows), table.shape[1]))
-        a[0] = 1.0
-        for j, i, piece in _edges(codes, vocabulary):
-            hit = np.flatnonzero(piece >= 0)
-            if len(hit):
-                a[j, hit] += a[i, hit] * table[piece[hit]]
-            if i == j - 1:
-                miss = np.flatnonzero(piece < 0)
-                a[j, miss] += a[i, miss] * table[-1]
-        np.add.at(out, owner[rows], np.log(np.maximum(a[n], 1e-300)))
+    for rows, codes in _by_length(words):
+        parts = _Substrings(codes, vocabulary)
+        a = {0: np.ones((len(rows), table.shape[1]))}
+        scale = np.zeros((len(rows), table.shape[1]))
+        for j in range(1, parts.n + 1):
+            now = np.zeros((len(rows), table.shape[1]))
+            for i in parts.starts(j):
+                piece = parts.piece(i, j)
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    now[hit] += a[i][hit] * table[piece[hit]]
+                if i == j - 1:
+                    miss = np.flatnonzero(piece < 0)
+                    now[miss] += a[i][miss] * table[-1]
+            a[j] = now
+            a.pop(j - vocabulary.longest, None)
+            if j % STRIDE == 0:
+                top = np.maximum.reduce(list(a.values()))
+                scale += np.log(top)
+                a = {k: v / top for k, v in a.items()}
+        out[rows] = np.log(a[parts.n]) + scale
     return out
 
 
 def expected_counts(words: list[str], weight: np.ndarray, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over the words, by forward-backward; p: one language's probabilities."""
     out = np.zeros(len(p))
-    parts, owner = _parts(words)
-    weight = weight[owner] if len(owner) else weight
-    for rows, codes in _by_length(parts):
-        n = codes.shape[1]
-        edges = list(_edges(codes, vocabulary))
-        a, b = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
-        a[0], b[n] = 1.0, 1.0
-        value = []
-        for j, i, piece in edges:
-            v = np.where(piece >= 0, p[piece], p[-1] if i == j - 1 else 0.0)
-            value.append(v)
-            a[j] += a[i] * v
-        for (j, i, _), v in zip(reversed(edges), reversed(value)):
-            b[i] += b[j] * v
-        total = np.maximum(a[n], 1e-300)
-        w = weight[rows] / total
-        for (j, i, piece), v in zip(edges, value):
-            hit = piece >= 0
-            if hit.any():
-                out += np.bincount(piece[hit], (a[i] * v * b[j] * w)[hit], len(p))
+    for rows, codes in _by_length(words):
+        parts, longest = _Substrings(codes, vocabulary), vocabulary.longest
+        n = parts.n
+        keep = n <= 64
+
+        def value(i: int, j: int, piece: np.ndarray) -> np.ndarray:
+            return np.where(piece >= 0, p[piece], p[-1] if j == i + 1 else 0.0)
+
+        # column j of the forward pass is stored[j] * exp(logs[j]); a holds the last ones at one scale
+        stored, logs, scale = [np.ones(len(rows))], [np.zeros(len(rows))], np.zeros(len(rows))
+        a = {0: stored[0]}
+        for j in range(1, n + 1):
+            now = np.zeros(len(rows))
+            for i in parts.starts(j):
+                piece = parts.piece(i, j)
+                if keep:
+                    parts.kept[i, j] = piece
+                now += a[i] * value(i, j, piece)
+            a[j] = now
+            stored.append(now)
+            logs.append(scale)
+            a.pop(j - longest, None)
+            if j % STRIDE == 0:
+                top = np.maximum.reduce(list(a.values()))
+                scale = scale + np.log(top)
+                a = {k: v / top for k, v in a.items()}
+        total = np.log(stored[n]) + logs[n]
+        b, back = {n: np.ones(len(rows))}, np.zeros(len(rows))
+        for i in range(n - 1, -1, -1):
+            share = stored[i] * np.exp(logs[i] + back - total) * weight[rows]
+            now = np.zeros(len(rows))
+            for j in parts.ends(i):
+                piece = parts.piece(i, j)
+                through = b[j] * value(i, j, piece)
+                now += through
+                hit = piece >= 0
+                if hit.any():
+                    out += np.bincount(piece[hit], (share * through)[hit], len(p))
+            b[i] = now
+            b.pop(i + longest, None)
+            if (n - i) % STRIDE == 0:
+                top = np.maximum.reduce(list(b.values()))
+                back = back + np.log(top)
+                b = {k: v / top for k, v in b.items()}
     return out
 
 
