@@ -1,26 +1,30 @@
-"""Hierarchical k-means topic tree, one distributed job per tree level.
+"""Hierarchical k-means topic tree, a few distributed jobs per tree level.
 
-Every page carries the path (child ordinals from the root) of the node it sits in.
-Per level:
+Every page carries the path (child ordinals from the root) of the node it sits in, and its
+vector on an integer grid.  All distances, sums and means of a clustering are then exact
+integers, so the tree is the same at any partition count and on every computing path.
+Per level, for all nodes that split at once:
 
 1. node sizes by path; nodes with more than ``leaf_target`` pages (and depth below
    ``max_depth``) split into k = min(max_k, ceil(n / leaf_target)) clusters;
-2. seeds: the k pages first in a seeded hash order over all pages of the node
-   (WindowGroupLimit keeps the shuffle at k rows per node and task);
-3. Lloyd steps for all splitting nodes at once: points join their node's packed
-   centres, nearest centre by array arithmetic, new centres by ``Summarizer``
-   means; a centre that loses all points keeps its position; a node stops at
-   ``tol`` of its own variance;
+2. seeds over all pages of the node: rounds of one minimum-distance pass and one weighted
+   pick each.  A page's pick value is an exponential draw over its squared distance to the
+   seeds so far, so k pages a round are picked in proportion to it, and a copy of a seed
+   never is.  The picks, weighted by the pages nearest to them, are brought down to k
+   by the same weighted draws, one at a time, in a group of a few k rows per node;
+3. Lloyd steps: nearest centre, exact sums by (node, cluster) combined before the shuffle; a
+   centre that loses all pages moves to the page farthest from its own centre; a node
+   stops when no centre moves by more than ``tol`` of its largest squared distance;
 4. exact cosine silhouette per node in closed form; a node whose silhouette is
    below the threshold (or with a single non-empty cluster) stays a leaf, with
    the mean of its k centres as centroid;
 5. pages of accepted nodes move one level down (path + [cluster]).
 
-A node of at most ``local_cap`` pages goes through the same steps, with the same seeds and
-stop rule, inside one task; the cap decides where a node is computed, not its result.
+A node that one split brings down to leaf size (at most ``max_k * leaf_target`` pages) goes
+through the same steps inside one task; larger ones never meet in a task.
 
-Lineage is cut with reliable checkpoints after every level and every few Lloyd
-steps; nothing is collected to the driver except per-level scalars.  Afterwards
+Lineage is cut with reliable checkpoints after every level and every seeding round; only
+centre tables within the broadcast budget and per-level scalars reach the driver.  Afterwards
 node ids are assigned in depth-first pre-order (root = 1 per namespace).
 """
 
@@ -31,13 +35,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.operators import vectors as Vx
+from canopy.operators.windows import first_n_per_group
 from canopy.session import cut_lineage
 
 NS = "namespace"
+KEYS = [NS, "path"]
 
 
 @dataclass
@@ -47,46 +53,98 @@ class ClusterParams:
     max_depth: int = 10
     min_silhouette: float = 0.03
     max_iter: int = 50
-    tol: float = 1e-4          # relative to the mean per-feature variance of the node's points
+    tol: float = 1e-4          # of the node's largest squared distance to its first centres
     seed: int = 42
-    local_cap: int = 5000      # nodes up to this many pages are clustered inside one task
+    rounds: int = 4            # least number of seeding rounds
+    local_cap: int | None = None  # nodes up to this many pages split inside one task (None: max_k * leaf_target)
 
+    @property
+    def cap(self) -> int:
+        return self.max_k * self.leaf_target if self.local_cap is None else self.local_cap
 
-# --- seeding ----------------------------------------------------------------------
 
-def _seed_order(params: ClusterParams):
-    return F.xxhash64(F.col("page_id"), F.lit(params.seed))
+# --- the integer grid --------------------------------------------------------------
 
+def grid_bits(dim: int) -> int:
+    """Bits of a grid coordinate; a squared distance of ``dim`` of them stays exact in a double."""
+    return min(20, (52 - math.ceil(math.log2(max(dim, 1)))) // 2 - 1)
 
-def seed_centres(points: DataFrame, nodes: DataFrame, params: ClusterParams) -> DataFrame:
-    """(namespace, path, cid, vec): the first k pages of each node in a seeded order of all its pages."""
-    from canopy.operators.windows import first_n_per_group
-    first = first_n_per_group(points.select(NS, "path", "page_id", "x"), [NS, "path"],
-                              [_seed_order(params), "page_id"], params.max_k)
-    return first.join(nodes.select(NS, "path", "k"), [NS, "path"]).where(F.col("rn") <= F.col("k")) \
-        .select(NS, "path", (F.col("rn") - 1).cast("int").alias("cid"), F.col("x").alias("vec"))
 
+def on_grid(vec: Column, unit: float) -> Column:
+    return F.transform(vec, lambda v: F.rint(v / F.lit(unit)))
 
-# --- nodes that fit one task: k-means + silhouette in numpy ------------------------------
+
+# --- one node in numpy, step for step as the Spark path ---------------------------------
 
 def _sqdist_np(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """n x k squared distances without an n x k x d temporary."""
+    """n x k squared distances without an n x k x d temporary (exact on grid vectors)."""
     return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :], 0.0)
 
 
-def _lloyd_np(x: np.ndarray, c: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    lab = np.zeros(len(x), dtype=np.int64)
-    for _ in range(max_iter):
+def race(h: np.ndarray, turn: int, weight: np.ndarray) -> np.ndarray:
+    """Exponential draws with rates ``weight``: the smallest is a pick in proportion to the weights."""
+    with np.errstate(over="ignore", divide="ignore"):
+        z = h.astype(np.int64).view(np.uint64) + np.uint64(turn + 1) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5
+        return np.where(weight > 0, -np.log(u / 2.0 ** 53) / weight, np.inf)
+
+
+def _reduce_seeds(ids: np.ndarray, h: np.ndarray, x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Positions of k of the candidates by weighted D2 draws; candidates are sorted by id."""
+    if len(ids) <= k:
+        return np.arange(len(ids))
+    chosen = [int(np.lexsort((ids, race(h, 1000, weight)))[0])]
+    near = _sqdist_np(x, x[chosen])[:, 0]
+    while len(chosen) < k:
+        chosen.append(int(np.lexsort((ids, race(h, 1000 + len(chosen), near * weight)))[0]))
+        near = np.minimum(near, _sqdist_np(x, x[chosen[-1:]])[:, 0])
+    return np.sort(chosen)
+
+
+def _distinct_first(x: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of rows with equal vectors the one with the smallest id."""
+    first: dict[bytes, int] = {}
+    for r in rows[np.argsort(ids[rows])]:
+        first.setdefault(x[r].tobytes(), int(r))
+    return np.array(sorted(first.values()), np.int64)
+
+
+def _seeds_np(x: np.ndarray, h: np.ndarray, ids: np.ndarray, k: int, p: ClusterParams) -> np.ndarray:
+    cand = np.lexsort((ids, h))[:1]
+    turn = 0
+    while True:
+        near = _sqdist_np(x, x[cand]).min(axis=1)
+        if turn >= p.rounds and len(cand) >= k or not (near > 0).any():
+            break
+        value = race(h, turn, near)
+        picks = np.lexsort((ids, value))[:k]
+        cand = np.concatenate([cand, _distinct_first(x, picks[near[picks] > 0], ids)])
+        turn += 1
+    cand = cand[np.argsort(ids[cand])]
+    weight = np.bincount(_sqdist_np(x, x[cand]).argmin(axis=1), minlength=len(cand)).astype(np.float64)
+    return x[cand[_reduce_seeds(ids[cand], h[cand], x[cand], weight, k)]]
+
+
+def _lloyd_np(x: np.ndarray, ids: np.ndarray, c: np.ndarray, p: ClusterParams) -> tuple[np.ndarray, np.ndarray]:
+    limit = None
+    for _ in range(p.max_iter):
         d2 = _sqdist_np(x, c)
         lab = d2.argmin(axis=1)
-        new = c.copy()
-        for j in range(len(c)):
-            m = lab == j
-            if m.any():
-                new[j] = x[m].mean(axis=0)
+        near = d2[np.arange(len(x)), lab]
+        limit = p.tol * near.max() if limit is None else limit
+        count = np.bincount(lab, minlength=len(c))
+        sums = np.stack([np.bincount(lab, x[:, f], len(c)) for f in range(x.shape[1])], 1)
+        new = np.where(count[:, None] > 0, np.rint(sums / np.maximum(count, 1)[:, None]), c)
+        empty = np.flatnonzero(count == 0)
+        if len(empty):
+            far = np.lexsort((ids, -near))[:len(empty)]
+            far = far[near[far] > 0]
+            new[empty[:len(far)]] = x[far]
         shift = ((new - c) ** 2).sum(axis=1).max()
         c = new
-        if shift <= tol:
+        if shift <= limit:
             break
     return c, _sqdist_np(x, c).argmin(axis=1)
 
@@ -114,7 +172,7 @@ def silhouette_np(x: np.ndarray, lab: np.ndarray) -> float:
 
 
 def local_subtrees(points: DataFrame, nodes: DataFrame, params: ClusterParams) -> DataFrame:
-    """Grow the whole subtree of every bounded node (<= ``local_cap`` pages) inside one task.
+    """Split every bounded node (<= ``params.cap`` pages) down to its leaves inside one task.
 
     Output rows are of two kinds: ``page`` rows (namespace, page_id, x, path = final leaf
     path) and ``node`` rows (namespace, path, silhouette, centroid) for every node of the
@@ -123,8 +181,9 @@ def local_subtrees(points: DataFrame, nodes: DataFrame, params: ClusterParams) -
     p = params
 
     def grow_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "page_id"]).reset_index(drop=True)
+        pdf = pdf.sort_values("page_id").reset_index(drop=True)
         x = np.vstack(pdf["x"].to_numpy()).astype(np.float64)
+        h, ids = pdf["h"].to_numpy(np.int64), pdf["page_id"].to_numpy(np.int64)
         base = list(pdf["path"].iloc[0])
         ns = pdf[NS].iloc[0]
         page_path: list = [None] * len(x)
@@ -133,15 +192,14 @@ def local_subtrees(points: DataFrame, nodes: DataFrame, params: ClusterParams) -
         def grow(idx: np.ndarray, rel: list) -> None:
             n, depth = len(idx), len(base) + len(rel)
             k = min(p.max_k, math.ceil(n / p.leaf_target))
-            if n <= p.leaf_target or depth >= p.max_depth or k <= 1:
-                for i in idx:
-                    page_path[i] = base + rel
-                return
-            xs = x[idx]
-            c, lab = _lloyd_np(xs, xs[:k].copy(), p.max_iter, p.tol * float(xs.var(axis=0).mean()))
-            sil = silhouette_np(xs, lab)
-            node_rows.append((base + rel, None if np.isnan(sil) else sil, c.mean(axis=0).tolist()))
-            if np.isnan(sil) or sil < p.min_silhouette:
+            split = n > p.leaf_target and depth < p.max_depth and k > 1
+            if split:
+                xs = x[idx]
+                c, lab = _lloyd_np(xs, ids[idx], _seeds_np(xs, h[idx], ids[idx], k, p), p)
+                sil = silhouette_np(xs, lab)
+                node_rows.append((base + rel, None if np.isnan(sil) else sil, (c.sum(axis=0) / len(c)).tolist()))
+                split = not np.isnan(sil) and round(sil, 9) >= p.min_silhouette
+            if not split:
                 for i in idx:
                     page_path[i] = base + rel
                 return
@@ -151,72 +209,149 @@ def local_subtrees(points: DataFrame, nodes: DataFrame, params: ClusterParams) -
                     grow(idx[m], rel + [j])
 
         grow(np.arange(len(x)), [])
-        pages = pd.DataFrame({"kind": "page", NS: ns, "page_id": pdf["page_id"], "x": pdf["x"],
+        pages = pd.DataFrame({"kind": "page", NS: ns, "page_id": pdf["page_id"], "h": pdf["h"], "x": pdf["x"],
                               "path": page_path, "silhouette": None, "centroid": None})
-        nodes_df = pd.DataFrame({"kind": "node", NS: ns, "page_id": None, "x": None,
+        nodes_df = pd.DataFrame({"kind": "node", NS: ns, "page_id": None, "h": None, "x": None,
                                  "path": [r[0] for r in node_rows], "silhouette": [r[1] for r in node_rows],
                                  "centroid": [r[2] for r in node_rows]})
         return pd.concat([pages, nodes_df], ignore_index=True)
 
-    inp = points.join(nodes.select(NS, "path"), [NS, "path"], "left_semi").withColumn("h", _seed_order(p))
-    return inp.groupBy(NS, "path").applyInPandas(
-        grow_all, f"kind string, {NS} string, page_id bigint, x array<double>, path array<int>, "
+    inp = points.select(*KEYS, "page_id", "h", "x").join(nodes.select(*KEYS), KEYS, "left_semi")
+    return inp.groupBy(*KEYS).applyInPandas(
+        grow_all, f"kind string, {NS} string, page_id bigint, h bigint, x array<double>, path array<int>, "
                   "silhouette double, centroid array<double>")
 
 
-# --- Lloyd iterations --------------------------------------------------------------
+# --- seeding of all large nodes of a level ----------------------------------------------
+
+def seed_centres(points: DataFrame, nodes: DataFrame, dim: int, p: ClusterParams) -> DataFrame:
+    """(namespace, path, cid, vec): k seeds per node by rounds of weighted picks over all its pages.
+
+    ``points``: namespace, path, page_id, h, x; ``nodes``: namespace, path, k.
+    """
+    @F.pandas_udf("double")
+    def draw(h: pd.Series, turn: pd.Series, weight: pd.Series) -> pd.Series:
+        return pd.Series(race(h.to_numpy(), int(turn.iloc[0]), weight.to_numpy()))
+
+    pts = points.select(*KEYS, "page_id", "h", "x")
+    cols = [*KEYS, F.col("page_id").alias("cid"), "h", "x"]
+    cand = cut_lineage(first_n_per_group(pts, KEYS, ["h", "page_id"], 1).select(*cols))
+    turn = 0
+    while True:
+        near = _assign(pts, cand.select(*KEYS, "cid", F.col("x").alias("vec")), dim, keep_distance=True)
+        away = near.where(F.col("dist2") > 0)
+        if turn >= p.rounds:  # only nodes that still lack candidates go on
+            short = nodes.join(cand.groupBy(*KEYS).agg(F.count("*").alias("have")), KEYS).where("have < k")
+            away = away.join(short.select(*KEYS), KEYS, "left_semi")
+        drawn = away.withColumn("draw", draw("h", F.lit(turn), "dist2")).select(*KEYS, "page_id", "h", "x", "draw")
+        picks = first_n_per_group(drawn, KEYS, ["draw", "page_id"], p.max_k).join(nodes.select(*KEYS, "k"), KEYS) \
+            .where(F.col("rn") <= F.col("k"))
+        picks = cut_lineage(picks.groupBy(*KEYS, "x").agg(F.min(F.struct("page_id", "h")).alias("m"))
+                            .select(*KEYS, F.col("m.page_id").alias("cid"), "m.h", "x"))
+        if picks.isEmpty():
+            break
+        cand = cut_lineage(cand.unionByName(picks))
+        turn += 1
+    weights = _assign(pts, cand.select(*KEYS, "cid", F.col("x").alias("vec")), dim).groupBy(*KEYS, "cid") \
+        .agg(F.count("*").alias("weight"))
+    rows = cand.join(weights, [*KEYS, "cid"], "left").join(nodes.select(*KEYS, "k"), KEYS)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid").reset_index(drop=True)
+        x = np.vstack(pdf["x"].to_numpy()).astype(np.float64)
+        got = _reduce_seeds(pdf["cid"].to_numpy(np.int64), pdf["h"].to_numpy(np.int64), x,
+                            pdf["weight"].fillna(0).to_numpy(float), int(pdf["k"].iloc[0]))
+        return pd.DataFrame({NS: pdf[NS].iloc[got], "path": pdf["path"].iloc[got], "cid": np.arange(len(got)),
+                             "vec": list(x[got])})
+
+    return cut_lineage(rows.groupBy(*KEYS).applyInPandas(
+        choose, f"{NS} string, path array<int>, cid int, vec array<double>"))
+
+
+# --- Lloyd iterations of all large nodes of a level ---------------------------------------
+
+def _assign(points: DataFrame, centres: DataFrame, dim: int, keep_distance: bool = False) -> DataFrame:
+    """Nearest centre of each point's node (BLAS under the broadcast budget, JVM join beyond it; both exact)."""
+    out = Vx.nearest_centre(points, centres.withColumnRenamed("vec", "x"), KEYS, "x", "cid", dim)
+    return out if keep_distance else out.drop("dist2")
+
+
+def _step(assigned: DataFrame, dim: int) -> DataFrame:
+    """Exact new centres: (namespace, path, cid, n, vec, far), partial sums before the shuffle."""
+    sums = [F.sum(F.col("x")[i].cast("long")).alias(f"s{i}") for i in range(dim)]
+    return assigned.groupBy(*KEYS, "cid").agg(F.count("*").alias("n"), F.max("dist2").alias("far"), *sums).select(
+        *KEYS, "cid", "n", F.array(*[F.rint(F.col(f"s{i}") / F.col("n")) for i in range(dim)]).alias("vec"), "far")
+
 
-def lloyd(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int, params: ClusterParams
-          ) -> tuple[DataFrame, DataFrame, int]:
+def _farthest(assigned: DataFrame, most: int) -> DataFrame:
+    """The pages of each node that are farthest from their centres: (namespace, path, rn, x)."""
+    return first_n_per_group(assigned.where(F.col("dist2") > 0), KEYS, [F.desc("dist2"), "page_id"], most) \
+        .select(*KEYS, "rn", "x")
+
+
+def lloyd(points: DataFrame, centres: DataFrame, dim: int, params: ClusterParams) -> tuple[DataFrame, DataFrame, int]:
     """Run Lloyd steps for all nodes at once -> (centres, assignment, iterations).
 
-    A node stops when none of its centres moves more than ``tol`` x (its mean feature variance)
-    squared distance; the others go on.
+    A node stops on its own when no centre moves by more than its limit; the others go on.
     """
-    keys = [NS, "path"]
-    var = Vx.Summarizer.variance(F.col("v"))
-    limits = (points.select(*keys, Vx.array_to_vector("x").alias("v")).groupBy(*keys)
-              .agg(Vx.vector_to_array(var).alias("var"), F.count("*").alias("n"))
-              .select(*keys, (F.lit(params.tol) * (F.col("n") - 1) / F.col("n")
-                              * F.aggregate("var", F.lit(0.0), lambda a, v: a + v) / dim).alias("limit")))
-    limits = cut_lineage(limits)
     if centres.count() * (8 * dim + 64) <= Vx.BROADCAST_BUDGET_BYTES:
-        return _lloyd_broadcast(points, centres, params, limits)
-    it = 0
-    live = limits
+        return _lloyd_broadcast(points, centres, params, dim)
+    it, limits, live = 0, None, None
     for it in range(1, params.max_iter + 1):
-        moving = points.join(live.select(*keys), keys, "left_semi")
-        asg = _assign(moving, centres, n_nodes, dim)
-        moved = Vx.lloyd_update(asg, keys, "x", "cid").select(*keys, "cid", "vec")
-        kept = centres.join(moved.select(*keys, "cid"), [*keys, "cid"], "left_anti")
-        # the centre table is small (k rows per splitting node): checkpoint it every step so the
-        # plan never nests previous iterations (each step reads the old centres twice)
-        new = cut_lineage(moved.unionByName(kept))
-        shift = (new.alias("n").join(centres.alias("o"), [*keys, "cid"])
-                 .groupBy(*keys).agg(F.max(Vx.sqdist(F.col("n.vec"), F.col("o.vec"))).alias("shift")))
-        live = cut_lineage(live.join(shift, keys).where(F.col("shift") > F.col("limit")).drop("shift"))
+        moving = points if live is None else points.join(live, KEYS, "left_semi")
+        asg = _assign(moving, centres, dim, keep_distance=True)
+        moved = cut_lineage(_step(asg, dim))
+        node = moved.groupBy(*KEYS).agg(F.max("far").alias("far"))
+        if limits is None:
+            limits = cut_lineage(node.select(*KEYS, (F.lit(params.tol) * F.col("far")).alias("limit")))
+        kept = centres.join(moved.select(*KEYS, "cid"), [*KEYS, "cid"], "left_anti")
+        empty = kept if live is None else kept.join(live, KEYS, "left_semi")
+        if not empty.isEmpty():  # a centre without pages moves to a page far from its own
+            nth = Window.partitionBy(*KEYS).orderBy("cid")
+            placed = empty.withColumn("rn", F.row_number().over(nth)) \
+                .join(_farthest(asg, params.max_k), [*KEYS, "rn"]).select(*KEYS, "cid", F.col("x").alias("vec"))
+            placed = cut_lineage(placed)
+            kept = kept.join(placed, [*KEYS, "cid"], "left_anti").unionByName(placed)
+        new = cut_lineage(moved.select(*KEYS, "cid", "vec").unionByName(kept.select(*KEYS, "cid", "vec")))
+        shift = (new.alias("n").join(centres.alias("o"), [*KEYS, "cid"])
+                 .groupBy(*KEYS).agg(F.max(Vx.sqdist(F.col("n.vec"), F.col("o.vec"))).alias("shift")))
+        if live is not None:
+            shift = shift.join(live, KEYS, "left_semi")
+        live = cut_lineage(shift.join(limits, KEYS).where(F.col("shift") > F.col("limit")).select(*KEYS))
         centres = new
         if live.isEmpty():
             break
-    return centres, _assign(points, centres, n_nodes, dim), it
+    return centres, _assign(points, centres, dim), it
 
 
-def _lloyd_broadcast(points: DataFrame, centres: DataFrame, params: ClusterParams, limits: DataFrame
+def _lloyd_broadcast(points: DataFrame, centres: DataFrame, params: ClusterParams, dim: int
                      ) -> tuple[DataFrame, DataFrame, int]:
     """Lloyd steps with the (size-checked) centre table kept on the driver and broadcast:
-    one distributed job per step (assign + mean), the shift test and lineage cut for free."""
-    keys = [NS, "path"]
-    packed = Vx.collect_centres(centres, keys, "cid", "vec")
-    limit = {(r[NS], tuple(r["path"])): r["limit"] for r in limits.collect()}  # one row per node in the table
+    one distributed job per step (assign + sums), the shift test and lineage cut for free."""
+    packed = Vx.collect_centres(centres, KEYS, "cid", "vec")
+    limit: dict = {}
     live = set(packed)
     it = 0
     for it in range(1, params.max_iter + 1):
-        asg = Vx.assign_packed(points, {k: packed[k] for k in live}, keys, "x", "cid").drop("dist2")
-        means = Vx.lloyd_update(asg, keys, "x", "cid").select(*keys, "cid", "vec").collect()
+        asg = Vx.assign_packed(points, {k: packed[k] for k in live}, KEYS, "x", "cid")
+        rows = _step(asg, dim).collect()
         new = {k: (packed[k][0], packed[k][1].copy()) for k in live}
-        for r in means:                       # a centre without points keeps its position
-            ids, c = new[(r[NS], tuple(r["path"]))]
-            c[int(np.searchsorted(ids, r["cid"]))] = np.asarray(r["vec"], dtype=np.float64)
+        full: dict = {k: set() for k in live}
+        far = dict.fromkeys(live, 0.0)
+        for r in rows:
+            key = (r[NS], tuple(r["path"]))
+            new[key][1][r["cid"]] = np.asarray(r["vec"], dtype=np.float64)
+            full[key].add(r["cid"])
+            far[key] = max(far[key], r["far"])
+        empty = {k: sorted(set(range(len(new[k][0]))) - full[k]) for k in live if len(full[k]) < len(new[k][0])}
+        if empty:  # a centre without pages moves to a page far from its own
+            most = max(map(len, empty.values()))
+            for r in _farthest(asg, most).collect():  # at most as many rows as empty centres, per node
+                places = empty.get((r[NS], tuple(r["path"])), [])
+                if r["rn"] <= len(places):
+                    new[r[NS], tuple(r["path"])][1][places[r["rn"] - 1]] = np.asarray(r["x"], dtype=np.float64)
+        for k in live:
+            limit.setdefault(k, params.tol * far[k])
         shift = {k: float(((new[k][1] - packed[k][1]) ** 2).sum(axis=1).max()) for k in live}
         packed.update(new)
         live = {k for k in live if shift[k] > limit[k]}
@@ -225,13 +360,7 @@ def _lloyd_broadcast(points: DataFrame, centres: DataFrame, params: ClusterParam
     rows = [(k[0], list(k[1]), int(i), c.tolist()) for k, (ids, cs) in packed.items() for i, c in zip(ids, cs)]
     spark = points.sparkSession
     final = spark.createDataFrame(rows, f"{NS} string, path array<int>, cid int, vec array<double>")
-    return final, Vx.assign_packed(points, packed, keys, "x", "cid").drop("dist2"), it
-
-
-def _assign(points: DataFrame, centres: DataFrame, n_nodes: int, dim: int) -> DataFrame:
-    """Nearest centre of each point's node (BLAS under the broadcast budget, JVM join beyond it)."""
-    out = Vx.nearest_centre(points, centres.withColumnRenamed("vec", "x"), [NS, "path"], "x", "cid", dim)
-    return out.drop("dist2")
+    return final, Vx.assign_packed(points, packed, KEYS, "x", "cid").drop("dist2"), it
 
 
 # --- the level loop ----------------------------------------------------------------
@@ -250,71 +379,66 @@ def build_tree(pages: DataFrame, params: ClusterParams = ClusterParams(), vec: s
     sizes = base.groupBy(NS).agg(F.count("*").alias("n"))
     # one row per namespace: broadcast, so the semi-join never shuffles pages by namespace
     base = base.join(F.broadcast(sizes.where(F.col("n") >= params.max_k).select(NS)), NS, "left_semi")
-    first = base.select("x").first()
-    if first is None:
+    extent = base.agg(F.max(F.size("x")).alias("dim"),
+                      F.max(F.array_max(F.transform("x", F.abs))).alias("reach")).first()
+    if extent.dim is None:
         empty = pages.sparkSession.createDataFrame([], "namespace string, node_id bigint")
         return empty, empty
-    dim = len(first["x"])
-    pts = cut_lineage(base.withColumn("path", F.array().cast("array<int>")).withColumn("done", F.lit(False)))
+    dim = extent.dim
+    unit = (extent.reach or 1.0) / 2 ** grid_bits(dim)
+    pts = cut_lineage(base.select(
+        NS, "page_id", F.xxhash64("page_id", F.lit(params.seed)).alias("h"), on_grid(F.col("x"), unit).alias("x"),
+        F.array().cast("array<int>").alias("path"), F.lit(False).alias("done")))
+    row = [NS, "page_id", "h", "x", "path", "done"]
     levels = []
     for depth in range(params.max_depth):
         active = pts.where(~F.col("done"))
-        counts = active.groupBy(NS, "path").agg(F.count("*").alias("n"))
-        cand = (counts.where(F.col("n") > params.leaf_target)
-                .withColumn("k", F.least(F.lit(params.max_k), F.ceil(F.col("n") / params.leaf_target)).cast("int"))
-                .where(F.col("k") > 1)).persist()
-        tally = cand.agg(F.count("*").alias("n"), F.count_if(F.col("n") > params.local_cap).alias("big")).first()
-        n_nodes, n_large = tally["n"], tally["big"]
-        if n_nodes == 0:
-            cand.unpersist()
+        counts = active.groupBy(*KEYS).agg(F.count("*").alias("n"))
+        cand = cut_lineage(counts.where(F.col("n") > params.leaf_target)
+                           .withColumn("k", F.least(F.lit(params.max_k), F.ceil(F.col("n") / params.leaf_target)).cast("int"))
+                           .where(F.col("k") > 1))
+        tally = cand.agg(F.count("*").alias("n"), F.count_if(F.col("n") > params.cap).alias("big")).first()
+        if tally["n"] == 0:
             break
-        small = cand.where(F.col("n") <= params.local_cap)
-        large = cand.where(F.col("n") > params.local_cap)
-        # nodes that fit one task: their whole subtree in one pass
-        loc = local_subtrees(active, small, params).persist()
-        parts = [pts.where("done"),
-                 active.join(cand.select(NS, "path"), [NS, "path"], "left_anti").withColumn("done", F.lit(True)),
-                 loc.where(F.col("kind") == "page").select(NS, "page_id", "x", "path", F.lit(True).alias("done"))]
-        info = [loc.where(F.col("kind") == "node").select(NS, "path", "centroid", "silhouette",
-                                                            F.lit(None).cast("boolean").alias("accepted"))]
-        if n_large:
-            # nodes too big for one task: one distributed k-means level
-            cpts = active.join(large.select(NS, "path"), [NS, "path"], "left_semi").persist()
-            centres = seed_centres(cpts, large, params)
-            centres, big_asg, _ = lloyd(cpts, centres, n_large, dim, params)
-            big_asg = cut_lineage(big_asg)
-            sil = Vx.silhouette_points(big_asg.withColumnRenamed("x", "vec"), [NS, "path"], "cid", "vec", dim) \
-                .groupBy(NS, "path").agg(F.avg("silhouette").alias("silhouette"))
-            cent = Vx.group_mean(centres.withColumnRenamed("vec", "c"), [NS, "path"], "c").select(
-                NS, "path", "centroid")
-            nonempty = big_asg.groupBy(NS, "path").agg(F.countDistinct("cid").alias("n_nonempty"))
-            level = (large.select(NS, "path").join(sil, [NS, "path"], "left").join(nonempty, [NS, "path"])
-                     .join(cent, [NS, "path"])
-                     .withColumn("accepted", (F.col("n_nonempty") >= 2)
-                                 & (F.coalesce("silhouette", F.lit(-2.0)) >= params.min_silhouette))
-                     .select(NS, "path", "centroid", "silhouette", "accepted"))
-            level = cut_lineage(level)
-            info.append(level)
-            acc = level.where("accepted").select(NS, "path")
-            parts.append(big_asg.join(acc, [NS, "path"], "left_semi").select(
-                NS, "page_id", "x", F.concat("path", F.array("cid")).alias("path"), F.lit(False).alias("done")))
-            parts.append(big_asg.join(acc, [NS, "path"], "left_anti").select(
-                NS, "page_id", "x", "path", F.lit(True).alias("done")))
-            cpts.unpersist()
-        merged = info[0]
+        # nodes near leaf size: one pass, each in one task
+        loc = cut_lineage(local_subtrees(active, cand.where(F.col("n") <= params.cap), params))
+        parts = [pts.where("done").select(*row),
+                 active.join(cand.select(*KEYS), KEYS, "left_anti").withColumn("done", F.lit(True)).select(*row),
+                 loc.where(F.col("kind") == "page").withColumn("done", F.lit(True)).select(*row)]
+        info = [loc.where(F.col("kind") == "node").select(*KEYS, "centroid", "silhouette")]
+        if tally["big"]:
+            large = cand.where(F.col("n") > params.cap)
+            cpts = cut_lineage(active.select(NS, "page_id", "h", "x", "path").join(large.select(*KEYS), KEYS, "left_semi"))
+            centres = seed_centres(cpts, large, dim, params)
+            centres, asg, _ = lloyd(cpts, centres, dim, params)
+            asg = cut_lineage(asg)
+            sil = Vx.silhouette_points(asg.drop("h").withColumnRenamed("x", "vec"), KEYS, "cid", "vec", dim) \
+                .groupBy(*KEYS).agg(F.avg("silhouette").alias("silhouette"))
+            cent = centres.groupBy(*KEYS).agg(*[(F.sum(F.col("vec")[i].cast("long")) / F.count("*")).alias(f"c{i}")
+                                                for i in range(dim)]) \
+                .select(*KEYS, F.array(*[F.col(f"c{i}") for i in range(dim)]).alias("centroid"))
+            filled = asg.groupBy(*KEYS).agg(F.countDistinct("cid").alias("filled"))
+            level = cut_lineage(
+                large.select(*KEYS).join(sil, KEYS, "left").join(filled, KEYS).join(cent, KEYS)
+                .withColumn("silhouette", F.when(F.col("filled") > 1, F.col("silhouette")))
+                .withColumn("accepted", F.coalesce(F.round("silhouette", 9) >= params.min_silhouette, F.lit(False)))
+                .select(*KEYS, "centroid", "silhouette", "accepted"))
+            info.append(level.drop("accepted"))
+            acc = level.where("accepted").select(*KEYS)
+            parts.append(asg.join(acc, KEYS, "left_semi").withColumn("path", F.concat("path", F.array("cid")))
+                         .withColumn("done", F.lit(False)).select(*row))
+            parts.append(asg.join(acc, KEYS, "left_anti").withColumn("done", F.lit(True)).select(*row))
+        merged, new_pts = info[0], parts[0]
         for i in info[1:]:
             merged = merged.unionByName(i)
-        levels.append(cut_lineage(merged.drop("accepted")))
-        new_pts = parts[0]
         for part in parts[1:]:
             new_pts = new_pts.unionByName(part)
-        new_pts = cut_lineage(new_pts)
-        for held in (cand, loc):
-            held.unpersist()
-        pts = new_pts
-        if n_large == 0:
+        levels.append(cut_lineage(merged))
+        pts = cut_lineage(new_pts)
+        if not tally["big"]:
             break
-    return _finish(pts, levels, pages.sparkSession)
+    levels = [lv.withColumn("centroid", F.transform("centroid", lambda v: v * F.lit(unit))) for lv in levels]
+    return _finish(pts.withColumn("x", F.transform("x", lambda v: v * F.lit(unit))), levels, pages.sparkSession)
 
 
 def _finish(pts: DataFrame, levels: list[DataFrame], spark) -> tuple[DataFrame, DataFrame]:
@@ -337,7 +461,6 @@ def _finish(pts: DataFrame, levels: list[DataFrame], spark) -> tuple[DataFrame,
     # subtree statistics: pages contribute to every prefix of their path
     anc = pts.select(NS, "page_id", F.explode(_prefixes(F.col("path"))).alias("path"))
     docs = anc.groupBy(NS, "path").agg(F.count("*").alias("doc_count"))
-    from canopy.operators.windows import first_n_per_group
     samples = (first_n_per_group(anc, [NS, "path"], ["page_id"], 10)
                .groupBy(NS, "path").agg(F.array_sort(F.collect_list("page_id")).alias("sample_doc_ids")))
     kids = nodes.where(F.col("parent").isNotNull()).groupBy(NS, F.col("parent").alias("path")).agg(

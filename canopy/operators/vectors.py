@@ -90,12 +90,6 @@ def pack_centres(centres: DataFrame, keys: Sequence[str], cid: str, vec: str, ex
     return centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("cands"))
 
 
-def _join_packed(points: DataFrame, packed: DataFrame, keys: Sequence[str], dim: int | None) -> DataFrame:
-    n_groups = packed.count()
-    per_row = 8 * (dim or 128) * 64
-    return points.join(broadcast_if_small(packed, n_groups, per_row), list(keys))
-
-
 # --- I3a / I3b: nearest centre and one Lloyd update -----------------------------
 
 def nearest_centre(points: DataFrame, centres: DataFrame, keys: Sequence[str], vec: str = "vec",
@@ -110,7 +104,7 @@ def nearest_centre(points: DataFrame, centres: DataFrame, keys: Sequence[str], v
     if centres.count() * (8 * width + 64) <= BROADCAST_BUDGET_BYTES:
         return nearest_centre_blas(points, centres, list(keys), vec, cid)
     packed = pack_centres(centres, keys, cid, vec)
-    j = _join_packed(points, packed, keys, dim)
+    j = points.join(packed, list(keys))
     x = as_double(vec)
     best = F.array_min(F.transform("cands", lambda c: F.struct(sqdist(c["vec"], x).alias("d"),
                                                                c["cid"].alias("c"))))
@@ -192,7 +186,7 @@ def silhouette_points(points: DataFrame, keys: Sequence[str], label: str, vec: s
         return _silhouette_blas(u, sums, list(keys), label)
     packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct(F.col(label).alias("cid"), F.col("n"), F.col("S")))).alias("cands"))
-    j = _join_packed(u, packed, keys, dim)
+    j = u.join(packed, list(keys))
     lab = F.col(label)
     own = F.filter("cands", lambda c: c["cid"] == lab)[0]
     others = F.filter("cands", lambda c: c["cid"] != lab)

@@ -80,6 +80,61 @@ def cluster_assignment(spark, d):
     return asg
 
 
+#: What a node table and its assignment must satisfy, recomputed from the vectors; a count of nodes for each breach.
+TREE_CHECK = """
+WITH up AS (SELECT n.namespace, n.node_id, n.path, explode(transform(sequence(0, size(n.path)), i -> slice(n.path, 1, i))) AS over
+            FROM {nodes} n),
+under AS (SELECT o.namespace, o.node_id AS over_id, u.node_id, get(u.path, size(u.over)) AS child
+          FROM up u JOIN {nodes} o ON o.namespace = u.namespace AND o.path = u.over),
+pages AS (SELECT a.namespace, u.over_id AS node_id, u.child, a.page_id, v.reduced AS x
+          FROM {assignment} a JOIN under u ON u.namespace = a.namespace AND u.node_id = a.cluster_node_id
+               JOIN {vectors} v ON v.namespace = a.namespace AND v.page_id = a.page_id),
+sizes AS (SELECT namespace, node_id, count(*) AS docs, count(DISTINCT child) AS children FROM pages GROUP BY namespace, node_id),
+parts AS (SELECT namespace, node_id, child, page_id, pos, v, v / nullif(sqrt(aggregate(x, 0D, (s, y) -> s + y * y)), 0D) AS u
+          FROM pages LATERAL VIEW posexplode(x) e AS pos, v),
+means AS (SELECT namespace, node_id, pos, avg(v) AS m FROM parts GROUP BY namespace, node_id, pos),
+far AS (SELECT n.namespace, n.node_id, max(abs(m.m - get(n.centroid, m.pos))) AS off
+        FROM {nodes} n JOIN means m ON m.namespace = n.namespace AND m.node_id = n.node_id
+        WHERE n.child_count = 0 GROUP BY n.namespace, n.node_id),
+sums AS (SELECT namespace, node_id, child, pos, sum(u) AS s FROM parts WHERE child IS NOT NULL
+         GROUP BY namespace, node_id, child, pos),
+counts AS (SELECT namespace, node_id, child, count(*) AS n FROM pages WHERE child IS NOT NULL GROUP BY namespace, node_id, child),
+dots AS (SELECT p.namespace, p.node_id, p.page_id, p.child, s.child AS other, sum(p.u * s.s) AS d, sum(p.u * p.u) AS self
+         FROM parts p JOIN sums s ON s.namespace = p.namespace AND s.node_id = p.node_id AND s.pos = p.pos
+         GROUP BY p.namespace, p.node_id, p.page_id, p.child, s.child),
+near AS (SELECT d.namespace, d.node_id, d.page_id,
+                max(CASE WHEN d.other = d.child AND c.n > 1 THEN (c.n - 1 - (d.d - d.self)) / (c.n - 1) END) AS a,
+                min(CASE WHEN d.other <> d.child THEN 1 - d.d / c.n END) AS b
+         FROM dots d JOIN counts c ON c.namespace = d.namespace AND c.node_id = d.node_id AND c.child = d.other
+         GROUP BY d.namespace, d.node_id, d.page_id),
+sil AS (SELECT namespace, node_id, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s
+        FROM near GROUP BY namespace, node_id)
+SELECT n.namespace, max(CASE WHEN n.parent_id IS NULL THEN n.doc_count END) AS n_pages,
+       count_if(n.parent_id IS NULL) AS roots,
+       count_if(n.doc_count <> s.docs OR s.docs IS NULL) AS bad_sizes,
+       count_if(n.child_count <> s.children) AS bad_child_counts,
+       count_if(n.parent_id IS NOT NULL AND (p.node_id IS NULL OR p.path <> slice(n.path, 1, size(n.path) - 1)
+                OR p.node_id >= n.node_id OR p.depth + 1 <> n.depth)) AS bad_parents,
+       count_if(n.child_count = 0 AND n.doc_count > {leaf_target} AND n.depth < {max_depth} AND n.silhouette IS NULL) AS big_leaves,
+       count_if(n.child_count = 0 AND (f.off IS NULL OR f.off > 1e-4)) AS bad_leaf_centroids,
+       count_if(n.child_count > 0 AND (l.s IS NULL OR abs(l.s - n.silhouette) > 1e-4)) AS bad_silhouettes
+FROM {nodes} n LEFT JOIN sizes s ON s.namespace = n.namespace AND s.node_id = n.node_id
+     LEFT JOIN {nodes} p ON p.namespace = n.namespace AND p.node_id = n.parent_id
+     LEFT JOIN far f ON f.namespace = n.namespace AND f.node_id = n.node_id
+     LEFT JOIN sil l ON l.namespace = n.namespace AND l.node_id = n.node_id
+GROUP BY n.namespace"""
+
+
+@register("tree_check", """SELECT 'emb' AS namespace, count(*) AS n_pages, 1::BIGINT AS roots, 0::BIGINT AS bad_sizes,
+  0::BIGINT AS bad_child_counts, 0::BIGINT AS bad_parents, 0::BIGINT AS big_leaves, 0::BIGINT AS bad_leaf_centroids,
+  0::BIGINT AS bad_silhouettes FROM embeddings""")
+def tree_check(spark, d):
+    """The tree held against its vectors: sizes, parents, leaf centroids and silhouettes recomputed in SQL."""
+    nodes, asg = tree(spark, d)
+    return spark.sql(TREE_CHECK, nodes=nodes, assignment=asg, vectors=reduced(spark, d),
+                     leaf_target=PARAMS.leaf_target, max_depth=PARAMS.max_depth)
+
+
 @register("page_projection")
 def page_projection(spark, d):
     """Per-leaf 3-D PCA of the pages' reduced vectors."""

@@ -108,14 +108,54 @@ def test_cluster_tree_invariants_and_determinism(spark, reduced):
     assert sorted(map(tuple, asg.collect())) == sorted(map(tuple, asg2.collect()))
 
 
-def test_distributed_lloyd_path(spark, reduced):
-    """Nodes above local_cap take the distributed Lloyd loop; the tree does not depend on the cap."""
-    p = dataclasses.replace(PARAMS, local_cap=100, max_iter=8, max_depth=3)
-    nodes, asg = C.build_tree(reduced, p)
-    asg = asg.cache()
-    _check_tree(nodes.cache(), asg, reduced.count(), p)
-    _, local = C.build_tree(reduced, dataclasses.replace(p, local_cap=10**6))
-    assert sorted(map(tuple, asg.collect())) == sorted(map(tuple, local.collect()))
+def _as_rows(built):
+    nodes, asg = built
+    return (sorted(map(repr, nodes.select("namespace", "node_id", "parent_id", "doc_count",
+                                          F.round("silhouette", 9), "centroid").collect())),
+            sorted(map(tuple, asg.collect())))
+
+
+def test_tree_does_not_depend_on_where_it_is_computed(spark, reduced, monkeypatch):
+    """One task per node, Spark jobs with centres on the driver, Spark joins, and other partitionings: one tree."""
+    p = dataclasses.replace(PARAMS, max_iter=6, max_depth=3)
+    local = _as_rows(C.build_tree(reduced, dataclasses.replace(p, local_cap=10**6)))
+    spread = dataclasses.replace(p, local_cap=0, max_depth=2)
+    jobs = _as_rows(C.build_tree(reduced.repartition(5), spread))
+    assert jobs == _as_rows(C.build_tree(reduced, dataclasses.replace(spread, local_cap=10**6)))
+    assert local == _as_rows(C.build_tree(reduced.repartition(3), p))
+    monkeypatch.setattr(Vx, "BROADCAST_BUDGET_BYTES", 0)
+    one = dataclasses.replace(spread, max_depth=1, max_iter=3)
+    joins = _as_rows(C.build_tree(reduced, one))
+    monkeypatch.undo()
+    assert joins == _as_rows(C.build_tree(reduced, dataclasses.replace(one, local_cap=10**6)))
+
+
+@pytest.mark.parametrize("cap", [0, 10**6])
+def test_copies_leave_no_cluster_empty(spark, cap):
+    """A third of the pages are copies of one vector; every cluster still gets pages."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([np.repeat(rng.normal(size=(1, 6)), 100, 0), rng.normal(size=(200, 6))])
+    df = spark.createDataFrame([("ns", i, v.tolist()) for i, v in enumerate(x)],
+                               "namespace string, page_id bigint, reduced array<double>")
+    p = dataclasses.replace(PARAMS, max_depth=1, local_cap=cap, max_iter=4)
+    nodes, asg = C.build_tree(df, p)
+    root = nodes.where("parent_id IS NULL").first()
+    assert root.child_count == min(p.max_k, -(-300 // p.leaf_target))
+    same = [("ns", i, [1.0, 2.0]) for i in range(60)] + [("ns", 60 + i, [3.0, float(i % 2)]) for i in range(60)]
+    few = C.build_tree(spark.createDataFrame(same, "namespace string, page_id bigint, reduced array<double>"), p)[0]
+    assert few.where("parent_id IS NULL").first().child_count == 3   # as many clusters as distinct vectors
+
+
+def test_seeds_spread_over_all_pages():
+    """A far group of a hundredth of the pages gets a seed, which the first pages in an order would miss."""
+    rng = np.random.default_rng(1)
+    x = np.rint(rng.normal(size=(3000, 4)) * 1000)
+    x[17::100] += 500_000
+    hits = 0
+    for turn in range(5):
+        h = rng.integers(-2**62, 2**62, 3000)
+        hits += (C._seeds_np(x, h, np.arange(3000), 5, C.ClusterParams())[:, 0] > 250_000).any()
+    assert hits == 5
 
 
 def test_page_projection_small_and_large_paths_agree(spark, reduced):
@@ -179,9 +219,9 @@ def test_assignment_paths_agree(spark, monkeypatch):
     cents = spark.createDataFrame(
         [("ns", [p], c, rng.normal(size=4).tolist()) for p in (0, 1) for c in range(3)],
         "namespace string, path array<int>, cid int, vec array<double>")
-    blas = {r.page_id: r.cid for r in C._assign(pts, cents, 2, 4).collect()}
+    blas = {r.page_id: r.cid for r in C._assign(pts, cents, 4).collect()}
     monkeypatch.setattr(Vx, "BROADCAST_BUDGET_BYTES", 0)
-    jvm = {r.page_id: r.cid for r in C._assign(pts, cents, 2, 4).collect()}
+    jvm = {r.page_id: r.cid for r in C._assign(pts, cents, 4).collect()}
     assert blas == jvm and len(blas) == 200
 
 
@@ -198,11 +238,3 @@ def test_namespace_trees_are_separate(spark):
         assert len(root) == 1 and root[0].node_id == 1 and root[0].doc_count == sizes[ns]
     # namespaces with fewer vectors than max_k get no tree
     assert set(by_ns) == {ns for ns, n in sizes.items() if n >= PARAMS.max_k}
-
-
-def test_distributed_lloyd_join_path(spark, reduced, monkeypatch):
-    """With a zero broadcast budget every centre comparison takes the per-node join path."""
-    monkeypatch.setattr(Vx, "BROADCAST_BUDGET_BYTES", 0)
-    p = dataclasses.replace(PARAMS, local_cap=100, max_iter=3, max_depth=2)
-    nodes, asg = C.build_tree(reduced, p)
-    _check_tree(nodes.cache(), asg.cache(), reduced.count(), p)
