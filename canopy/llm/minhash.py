@@ -11,10 +11,10 @@ Equal sets are one node.  In a bucket every node is a candidate of the bucket's
 node only, a star, so pairs stay linear in the nodes.  Candidates are confirmed on full
 sets: a node's most frequent star first, others only where the two ends are not connected
 by then.  A star can miss a link between two of its tips, so buckets whose members are
-still in several components are compared by their sketches, piece by piece inside tasks:
-first each node with the best of every other component, then all that is left apart.  Pairs
-whose sketches agree in fewer than ``least_share`` of the bins cannot be similar (five
-standard deviations) and are the only ones never confirmed.
+still in several components are compared once more, piece by piece inside tasks: sketches
+choose the members that may have a link to another component, and full sets decide.  Pairs
+whose sketches agree in fewer than ``least_share`` of the bins are five standard deviations
+from a similarity of 0.8 and are the only ones never confirmed.
 
 Cases: a text without words is an empty set, linked with nothing, not even its like; a null
 text likewise; fewer words than a shingle are one shingle; copies are linked; rows with a
@@ -203,48 +203,23 @@ def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """Members of the buckets that hold several components, in pairs of pieces: ``key, p, q, node, root, n, sketch``."""
-    seen = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    """Members of the buckets that hold several components, in pairs of pieces.
+
+    ``key, band, p, q`` name a pair of pieces; ``own, node, root, n, sketch`` a member.
+    """
+    seen = members.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     still = seen.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")) \
         .filter("r0 < r1")
     pieces = F.ceil(F.col("m") / s.piece)
     dealt = seen.join(still.select("key", "m"), "key") \
         .withColumn("own", F.pmod(F.xxhash64("node"), pieces)) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
-    return dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node",
-                        "root").join(nodes.select("node", "n", "sketch"), "node")
-
-
-def _close_pairs(rows: DataFrame, s: Settings, best: bool) -> DataFrame:
-    """``a, b``: members of different components whose sketches agree; with ``best`` one per node and component."""
-    least = s.least_share * s.bands * s.rows
-
-    def compare(t: pa.Table) -> np.ndarray:
-        node, root, own = (t.column(c).to_numpy() for c in ("node", "root", "own"))
-        n = t.column("n").to_numpy().astype(np.int64)
-        same_piece = t.column("p")[0].as_py() == t.column("q")[0].as_py()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        out = []
-        for i in range(len(node)):
-            j = np.arange(i + 1, len(node))
-            ok = root[j] != root[i]
-            if not same_piece:
-                ok &= own[j] != own[i]
-            ok &= 100 * np.minimum(n[j], n[i]) >= s.percent * np.maximum(n[j], n[i])
-            j = j[ok]
-            if not len(j):
-                continue
-            equal = (sketch[j] == sketch[i]).sum(axis=1)
-            hit = equal >= least
-            out += [(i, k, e) for k, e in zip(j[hit], equal[hit])]
-        if best and out:
-            top: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for i, j, e in out:
-                for a, b in ((i, j), (j, i)):
-                    if e > top.get((a, root[b]), (0, 0, -1))[2]:
-                        top[a, root[b]] = (i, j, e)
-            out = list(set(top.values()))
-        return np.array([(min(node[i], node[j]), max(node[i], node[j])) for i, j, _ in out], np.int64).reshape(-1, 2)
+    return dealt.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
+                        "node", "root").join(nodes.select("node", "n", "sketch"), "node")
+
+
+def _by_group(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the Arrow table of every (key, p, q); it gives a record batch or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -255,19 +230,113 @@ def _close_pairs(rows: DataFrame, s: Settings, best: bool) -> DataFrame:
             edges = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
             if len(edges):
                 cuts = [0, *edges.tolist()]
-                yield from give([held.slice(x, y - x) for x, y in zip(cuts, cuts[1:])])
+                for x, y in zip(cuts, cuts[1:]):
+                    out = work(held.slice(x, y - x))
+                    if out is not None:
+                        yield out
                 held = held.slice(cuts[-1]).combine_chunks()
         if held is not None and len(held):
-            yield from give([held])
+            out = work(held)
+            if out is not None:
+                yield out
+
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node").mapInArrow(run, schema)
 
-    def give(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        found = [e for e in map(compare, groups) if len(e)]
+
+def _may_link(t: pa.Table, s: Settings) -> np.ndarray:
+    """Members that have a partner in another component with a like size and sketch.
+
+    A pair that shares an earlier band is left to the bucket of that band.
+    """
+    node, root, own, n = (t.column(c).to_numpy() for c in ("node", "root", "own", "n"))
+    n = n.astype(np.int64)
+    band = t.column("band")[0].as_py()
+    one_piece = t.column("p")[0].as_py() == t.column("q")[0].as_py()
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    marked = np.zeros(len(node), bool)
+    for i in range(len(node) - 1):
+        j = np.arange(i + 1, len(node))
+        ok = (root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= s.percent * np.maximum(n[j], n[i]))
+        if not one_piece:
+            ok &= own[j] != own[i]
+        j = j[ok]
+        if not len(j):
+            continue
+        equal = sketch[j] == sketch[i]
+        hit = equal.sum(axis=1) >= s.least_share * s.bands * s.rows
+        if band and hit.any():
+            hit[hit] = ~equal[hit].reshape(-1, s.bands, s.rows)[:, :band].all(axis=2).any(axis=1)
+        if hit.any():
+            marked[i] = True
+            marked[j[hit]] = True
+    return marked
+
+
+def _shared(items: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a few thousand sets, by products of their incidence columns."""
+    owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    _, at, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    common = count > 1  # an item of one set alone is in no intersection
+    number = np.cumsum(common) - 1
+    keep = common[at]
+    owner, at = owner[keep], number[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(items), len(items)), np.float32)
+    for low in range(0, int(common.sum()), width):
+        x, y = np.searchsorted(at, [low, low + width])
+        part = np.zeros((len(items), width), np.float32)
+        part[owner[x:y], at[x:y] - low] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _linked(t: pa.Table, s: Settings) -> list[tuple[int, int]]:
+    """A forest over the members of a group that are linked on their full sets."""
+    node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+    items = [x.values.to_numpy() for x in t.column("items")]
+    n = np.array([len(x) for x in items])
+    shared = _shared(items)
+    link = shared * (100 + s.percent) >= s.percent * (n[:, None] + n[None, :])
+    link |= root[:, None] == root[None, :]  # connected already
+    free, out = np.ones(len(node), bool), []
+    for i in range(len(node)):
+        if not free[i]:
+            continue
+        tree = np.zeros(len(node), bool)
+        edge = np.arange(len(node)) == i
+        while edge.any():
+            tree |= edge
+            edge = link[edge].any(axis=0) & ~tree
+        free &= ~tree
+        firsts = {int(root[k]): int(node[k]) for k in np.flatnonzero(tree)[::-1]}
+        ends = sorted(firsts.values())
+        out += [(ends[0], e) for e in ends[1:]]
+    return out
+
+
+def _tip_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links between components that share a bucket: sketches choose the members, full sets decide inside tasks.
+
+    Rows grow with the members of open buckets only: pairs are compared in blocks of a piece
+    against a piece and never written, but for a forest of the links found.
+    """
+    def choose(t: pa.Table):
+        marked = _may_link(t, s)
+        if marked.any():
+            return t.select(["key", "p", "q", "node", "root"]).filter(pa.array(marked)).combine_chunks().to_batches()[0]
+        return None
+
+    def decide(t: pa.Table):
+        found = _linked(t, s)
         if found:
-            e = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+            e = np.array(found, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+        return None
 
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node") \
-        .mapInArrow(run, "a long, b long").distinct()
+    chosen = _by_group(_open_buckets(members, roots, nodes, s), choose, "key long, p long, q long, node long, root long")
+    chosen = materialise(chosen, "minhash-chosen")
+    return _by_group(chosen.join(sets, "node"), decide, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -277,10 +346,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"),
         *[F.first(c).alias(c) for c in ("n", "keys", "sketch")])
         .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     stars = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = materialise(look_up(keyed, stars, "key", "size", nodes.count() * s.bands).filter("hub IS NOT NULL")
-                          .select("key", "node", "hub"), "minhash-members")
+                          .select("key", "band", "node", "hub"), "minhash-members")
     sizes = nodes.select("node", "n")
     stars = members.filter("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")) \
         .agg(F.count("*").alias("times")).join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b") \
@@ -304,13 +373,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
         links, roots = confirm(best, links)
         links, roots = confirm(_apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots), links)
-        tested = stars.select("a", "b")
         nothing = nodes.limit(0).select("node", F.col("node").alias("root"))
-        for one_each in (True, False):
-            rows = _open_buckets(members, nothing if roots is None else roots, nodes, s)
-            pairs = materialise(_close_pairs(rows, s, one_each).join(tested, ["a", "b"], "left_anti"), "minhash-close")
-            links, roots = confirm(pairs, links)
-            tested = tested.union(pairs)
+        tips = materialise(_tip_links(members, nothing if roots is None else roots, nodes, sets, s), "minhash-tips")
+        if not tips.isEmpty():
+            roots = components(tips if links is None else links.union(tips))
     named = nodes.select("node", "sig", "first_id", "copies")
     if roots is not None:
         lowest = named.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("low"))

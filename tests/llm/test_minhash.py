@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.llm import minhash
+from canopy.llm import graph, minhash
 from canopy.llm.queries import QUERIES
 from tests.llm.conftest import DOCS, SMALL
 
@@ -86,21 +86,30 @@ def test_links_between_tips_of_a_star(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
-def test_pairs_left_by_stars_are_compared(spark):
-    """Without any confirmed star, the sketches inside buckets alone give every link."""
+def test_links_left_by_stars_are_found(spark):
+    """Without any confirmed star, the comparison inside buckets alone gives the components."""
     rng = random.Random(5)
-    texts = family(rng, 50, 60, 5)
+    texts = list(dict.fromkeys(family(rng, 50, 60, 5) + family(rng, 30, 60, 12)))
     s = minhash.Settings(piece=8)
-    base = minhash.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), s)
-    nodes = base.withColumn("node", F.col("doc_id"))
-    members = nodes.select("node", F.explode("keys").alias("key"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = minhash.sketches(docs, s).withColumn("node", F.col("doc_id")).withColumn("first_id", F.col("doc_id"))
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     alone = nodes.select("node", F.col("node").alias("root")).limit(0)
-    pairs = {(r.a, r.b) for r in minhash._close_pairs(minhash._open_buckets(members, alone, nodes, s), s, False).collect()}
-    sets = [shingles(t) for t in texts]
-    linked = {(i, j) for j in range(50) for i in range(j)
-              if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    # equal texts are one node in the operator, so only different ones count
-    assert linked <= pairs and len(linked) > 50
+    links = minhash._tip_links(members, alone, nodes, minhash._sets(docs, nodes, s), s)
+    found = {r.node: r.root for r in graph.components(links).collect()}
+    want = eval("[" + ",".join(brute(list(enumerate(texts)))) + "]")
+    ends = {}
+    for i, _, low in want:
+        assert ends.setdefault(low, found.get(i, i)) == found.get(i, i)
+    assert len(set(ends.values())) == len(ends) and len(links.collect()) <= 8 * len(texts)
+
+
+def test_intersections_by_products():
+    rng = np.random.default_rng(2)
+    items = [np.unique(rng.integers(0, 300, rng.integers(1, 90))) for _ in range(40)]
+    got = minhash._shared(items, width=16)
+    assert (got * (1 - np.eye(40, dtype=int)) ==
+            np.array([[len(np.intersect1d(a, b)) * (i != j) for j, b in enumerate(items)] for i, a in enumerate(items)])).all()
 
 
 def test_sketches_estimate_similarity():
