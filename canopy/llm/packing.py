@@ -13,6 +13,7 @@ document is tokenised in one task; memory is that of its ids.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 LONGEST = 2048
 END_ID = 1
 
+#: Fixed value: the tokenizer's own split of a text without white space, for printable ASCII in lower case.
+_ASCII_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+
 _MEMOS: dict[str, "_Memo"] = {}
 
 
@@ -35,9 +39,10 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 class _Memo(dict):
     """Chunk between white space -> its ids as little-endian bytes; emptied when it is full.
 
-    The tokenizer lower-cases and never joins ids across white space, and a Latin letter that
-    stays one letter when normalised, followed by one full stop or comma, ends a token of its
-    own, so these parts can be encoded apart.  A lower-case Latin word is one pre-token, which the tokenizer's model encodes directly.
+    The tokenizer lower-cases and never joins ids across white space.  Printable ASCII is
+    split by its own rule, and a Latin letter that stays one letter when normalised, followed
+    by one full stop or comma, ends a token of its own; such parts are encoded apart by
+    the tokenizer's model, all other chunks by the tokenizer.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
@@ -60,10 +65,14 @@ class _Memo(dict):
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         if len(self) >= self.most // 2:
             self.clear()
         last = chunk[-2:-1]
-        if chunk[-1:] in ",." and last.isalpha() and last < "\u0250" and last != "\u0130":
+        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
+            ids = b"".join(map(self.word, _ASCII_PARTS(chunk.lower())))
+        elif chunk[-1:] in ",." and last.isalpha() and last < "\u0250" and last != "\u0130":
             ids = self[chunk[:-1]] + self[chunk[-1]]
         else:
             low = chunk.lower()
@@ -76,7 +85,7 @@ class _Memo(dict):
 
 
 def encode(text: str, memo: _Memo) -> bytes:
-    return b"".join([memo[c] for line in text.split("\n") for c in line.split(" ") if c])
+    return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def cut(n: int, longest: int = LONGEST) -> list[int]:

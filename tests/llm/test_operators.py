@@ -187,6 +187,16 @@ def test_every_letter_before_a_full_stop_or_comma():
         assert np.frombuffer(packing.encode(text, memo), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ascii_chunks_are_split_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+    path = packing.public_tokenizer()
+    t, memo, rng = Tokenizer.from_file(path), packing._Memo(path), np.random.default_rng(5)
+    signs = [chr(c) for c in range(127)] + ["'s", "'LL", "'re", "'D", "don't", "<|", "|>", "<|endoftext|>", "Ab", "xyz"] * 3
+    for _ in range(6000):
+        text = "".join(rng.choice(signs, rng.integers(1, 7)))
+        assert np.frombuffer(packing.encode(text, memo), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, [text]
+
+
 # ------------------------------------------------------------ top-k
 
 @pytest.mark.parametrize("kind", ["spread", "ties", "unit"])
