@@ -52,6 +52,10 @@ def page_vector(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Tags and white space between the words of a page's body.
+ARTICLE_MARKUP = r"(<[^>]*>|[ \t\n\r])+"
+
+
 def page_batch(spark: SparkSession, d: str) -> DataFrame:
     """A change batch of pages parsed from raw HTML (``pages`` table), page_log-shaped."""
     p = tables.read(spark, d, "pages")
@@ -59,7 +63,8 @@ def page_batch(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.concat(lng, F.lit(NS_SUFFIX)).alias("namespace"), "page_id",
                     F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("title"),
                     F.concat(lng, F.lit(NS_SUFFIX + "_chunk_pages")).alias("chunk_name"), "url",
-                    F.regexp_extract("html", r"<p>([^<]*)</p>", 1).alias("abstract"))
+                    F.trim(F.regexp_replace(F.regexp_extract("html", r"(?s)<body>(.*)</body>", 1), ARTICLE_MARKUP, " "))
+                    .alias("abstract"))
 
 
 def doc_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +188,7 @@ FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     "page_batch": f"""SELECT concat(regexp_extract(html, '<html lang="([a-z]+)"', 1), '{NS_SUFFIX}') AS namespace,
        page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
        concat(regexp_extract(html, '<html lang="([a-z]+)"', 1), '{NS_SUFFIX}_chunk_pages') AS chunk_name, url,
-       regexp_extract(html, '<p>([^<]*)</p>', 1) AS abstract
+       trim(regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '{ARTICLE_MARKUP}', ' ', 'g'), ' ') AS abstract
 FROM pages""",
     "chunk_log": """SELECT namespace, chunk_name,
        CASE WHEN n_emb > 0 THEN concat('/archive/', chunk_name, '.tar.gz') END AS chunk_archive_path,

@@ -7,19 +7,52 @@ from pyspark.sql import functions as F
 from canopy import fixtures as fx
 from canopy import tables
 from canopy.operators import state as S
+from canopy.operators.versions import VersionedTable
 from canopy.plans.registry import register
+from canopy.sources.scratch import scratch_dir
 
 EN = "enwiki_namespace_0"
 V = fx.with_views
 
 
-@register("upsert_pages", V("""SELECT namespace, page_id, title, chunk_name, url, abstract FROM (
+#: When the pages of the log, and those of the HTML batch, were read.
+FIRST_READ, SECOND_READ = "2025-10-01 00:00:00", "2025-11-01 00:00:00"
+
+
+def _stamped(pages, at):
+    return pages.withColumn("extracted_at", F.to_timestamp_ntz(F.lit(at)))
+
+
+def _pages(spark, d):
+    return _stamped(fx.page_log(spark, d), FIRST_READ), _stamped(fx.page_batch(spark, d), SECOND_READ)
+
+
+_UPSERTED = f"""SELECT namespace, page_id, title, chunk_name, url, abstract, extracted_at FROM (
   SELECT *, row_number() OVER (PARTITION BY namespace, page_id ORDER BY src DESC) AS rn FROM (
-    SELECT *, 0 AS src FROM page_log UNION ALL SELECT *, 1 AS src FROM page_batch)) WHERE rn = 1""",
-                            "page_log", "page_batch"))
+    SELECT *, TIMESTAMP '{FIRST_READ}' AS extracted_at, 0 AS src FROM page_log
+    UNION ALL SELECT *, TIMESTAMP '{SECOND_READ}' AS extracted_at, 1 AS src FROM page_batch)) WHERE rn = 1"""
+
+
+@register("upsert_pages", V(_UPSERTED, "page_log", "page_batch"))
 def upsert_pages(spark, d):
-    """M1: the HTML page batch upserted into the page log."""
-    return S.upsert(fx.page_log(spark, d), fx.page_batch(spark, d), ["namespace", "page_id"])
+    """M1: the HTML page batch upserted into the page log, its pages stamped anew."""
+    log, batch = _pages(spark, d)
+    return S.upsert(log, batch, ["namespace", "page_id"])
+
+
+@register("versioned_pages", V(f"""SELECT namespace, page_id, title, chunk_name,
+  CASE WHEN page_id % 3 = 0 THEN concat(url, '?moved') ELSE url END AS url, abstract, extracted_at
+FROM ({_UPSERTED}) WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""", "page_log", "page_batch"))
+def versioned_pages(spark, d):
+    """M1, M4, M8 on a table in versions: upsert, delete and column update, each rewriting its key buckets only."""
+    log, batch = _pages(spark, d)
+    table = VersionedTable.create(scratch_dir(spark, "pages"), log, ["namespace", "page_id"], buckets=16)
+    table.upsert(batch)
+    toxic = tables.read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    table.delete(table.read().join(toxic, "page_id", "left_semi").select("namespace", "page_id"))
+    table.merge_columns(table.read().where("page_id % 3 = 0").select(
+        "namespace", "page_id", F.concat("url", F.lit("?moved")).alias("url")), ["url"])
+    return table.read()
 
 
 _NEW_CHUNKS = ("nc", """SELECT namespace, chunk_name, concat('/archive2/', chunk_name, '.tar.gz') AS chunk_archive_path,
@@ -55,7 +88,8 @@ def upsert_chunks(spark, d):
 
 @register("upsert_embeddings", V("""SELECT coalesce(o.namespace, n.namespace) AS namespace,
        coalesce(o.page_id, n.page_id) AS page_id,
-       round(CAST((CASE WHEN n.page_id IS NOT NULL THEN n.embedding ELSE o.embedding END)[1] AS DOUBLE), 6) AS emb_head,
+       list_transform(CASE WHEN n.page_id IS NOT NULL THEN n.embedding ELSE o.embedding END,
+                      lambda x: round(CAST(x AS DOUBLE), 6) + 0.0) AS embedding,
        o.cluster_node_id
 FROM page_vector o FULL JOIN (
   SELECT concat(d.lang, 'wiki_namespace_0') AS namespace, e.vec_id AS page_id, list_reverse(e.embedding) AS embedding
@@ -69,8 +103,8 @@ def upsert_embeddings(spark, d):
         F.concat("lang", F.lit("wiki_namespace_0")).alias("namespace"), F.col("vec_id").alias("page_id"),
         F.reverse("embedding").alias("embedding"))
     out = S.merge_columns(fx.page_vector(spark, d), new, ["namespace", "page_id"], ["embedding"], insert_missing=True)
-    return out.select("namespace", "page_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("emb_head"),
-                      "cluster_node_id")
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double"), 6) + F.lit(0.0))
+    return out.select("namespace", "page_id", whole.alias("embedding"), "cluster_node_id")
 
 
 @register("apply_updates", V("""SELECT pv.namespace, pv.page_id,
