@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from canopy.plans import (  # noqa: F401
-    q_lookup, q_misc, q_ml, q_search, q_sources, q_state, q_stream, q_topics, q_tree, q_vectors)
+    q_lookup, q_misc, q_ml, q_search, q_sources, q_state, q_stream, q_structured, q_topics, q_tree, q_vectors)
 from canopy.plans.registry import REGISTRY
 
 

@@ -22,32 +22,36 @@ def _s(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, S) for n in names])
 
 
-ARTICLE = T.StructType([
-    T.StructField("name", S),
-    T.StructField("identifier", L),
-    T.StructField("abstract", S),
-    T.StructField("date_created", S),
-    T.StructField("date_modified", S),
-    T.StructField("url", S),
-    T.StructField("in_language", _s("identifier", "name")),
-    T.StructField("is_part_of", _s("identifier", "url")),
-    T.StructField("namespace", T.StructType([T.StructField("identifier", L)])),
-    T.StructField("version", T.StructType([
-        T.StructField("identifier", L), T.StructField("comment", S),
-        T.StructField("editor", T.StructType([T.StructField("identifier", L), T.StructField("name", S)])),
-        T.StructField("scores", T.StructType([T.StructField("revertrisk", T.StructType([
-            T.StructField("prediction", T.BooleanType()),
-            T.StructField("probability", T.StructType([T.StructField("false", T.DoubleType()),
-                                                       T.StructField("true", T.DoubleType())]))]))])),
-    ])),
-    T.StructField("categories", T.ArrayType(_s("name", "url"))),
-    T.StructField("templates", T.ArrayType(_s("name", "url"))),
-    T.StructField("redirects", T.ArrayType(_s("name", "url"))),
-    T.StructField("event", T.StructType([
-        T.StructField("identifier", S), T.StructField("type", S), T.StructField("date_created", S),
-        T.StructField("date_published", S), T.StructField("partition", T.IntegerType()),
-        T.StructField("offset", L)])),
-])
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+B, D = T.BooleanType(), T.DoubleType()
+_SIZE = _struct(value=D, unit_text=S)
+_LANGUAGE = _struct(identifier=S, name=S, alternate_name=S, direction=S)
+_ENTITY = _struct(identifier=S, url=S, aspects=T.ArrayType(S))
+_IMAGE = _struct(content_url=S, width=L, height=L, alternative_text=S, caption=S)
+_RISK = T.StructType([T.StructField("prediction", B), T.StructField("probability", T.StructType(
+    [T.StructField("false", D), T.StructField("true", D)]))])
+_EDITOR = _struct(identifier=L, name=S, edit_count=L, groups=T.ArrayType(S), is_bot=B, is_anonymous=B, is_admin=B,
+                  is_patroller=B, has_advanced_rights=B, date_started=S)
+_VERSION = _struct(identifier=L, comment=S, tags=T.ArrayType(S), is_minor_edit=B, is_flagged_stable=B, is_breaking_news=B,
+                   has_tag_needs_citation=B, scores=_struct(revertrisk=_RISK, revert_risk=_RISK), editor=_EDITOR,
+                   number_of_characters=L, size=_SIZE)
+_NAMED = T.ArrayType(_s("name", "url"))
+
+#: Every field of an article record.
+ARTICLE = _struct(
+    name=S, identifier=L, abstract=S, date_created=S, date_modified=S, date_previously_modified=S, url=S, watchers_count=L,
+    protection=T.ArrayType(_s("type", "level", "expiry")), version=_VERSION,
+    previous_version=_struct(identifier=L, number_of_characters=L),
+    namespace=_struct(identifier=L, name=S), in_language=_LANGUAGE, main_entity=_ENTITY,
+    additional_entities=T.ArrayType(_ENTITY), categories=_NAMED, templates=_NAMED, redirects=_NAMED,
+    is_part_of=_struct(name=S, identifier=S, url=S, code=S, version=S, date_modified=S, in_language=_LANGUAGE, size=_SIZE),
+    article_body=_s("html", "wikitext"), license=T.ArrayType(_s("name", "identifier", "url")),
+    visibility=_struct(text=B, editor=B, comment=B),
+    event=_struct(identifier=S, type=S, date_created=S, date_published=S, partition=T.IntegerType(), offset=L),
+    image=_IMAGE)
 
 # structured contents: parts and tables nest without a bound, so these fields are read as JSON text;
 # parts are unfolded level by level (unfold_parts), the others stay text

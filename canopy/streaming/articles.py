@@ -3,8 +3,9 @@
 * N1: ``readStream`` of ndjson event files with a declared schema (a file source
   here; a broker source plugs in the same way), request options applied as
   DataFrame predicates;
-* N2: resume by per-partition offsets / since-timestamps — a small (partition ->
-  bound) table joined to the events; after that the checkpoint owns progress;
+* N2: resume by per-partition offsets / since-timestamps: options of the log source
+  (``sources.article_log``) start the stream there, and the checkpoint owns progress after
+  that; on a batch, a small (partition -> bound) table is joined to the events;
 * N3: ``foreachBatch`` folds each micro-batch into the page state table: the
   latest event per page (by publish time, then offset) wins across batches;
   deletes are kept as tombstones so late older updates cannot resurrect a page;
@@ -92,7 +93,15 @@ def run_state_stream(spark: SparkSession, source: str, state_root: str, checkpoi
     stream = reader.json(source)
     if request_filter is not None:
         stream = request_filter(stream)
+    return fold_stream(spark, stream, state_root, checkpoint, compact_every)
 
+
+def fold_stream(spark: SparkSession, stream: DataFrame, state_root: str, checkpoint: str,
+                compact_every: int = 8) -> DataFrame:
+    """Fold what a stream of events has to give now into the state table; return the state.
+
+    Called again with the same checkpoint and table, it goes on where it ended.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
         latest_per_page(batch).write.mode("overwrite").parquet(f"{state_root}/delta/batch={batch_id}")
         if (batch_id + 1) % compact_every == 0:
