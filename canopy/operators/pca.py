@@ -3,30 +3,37 @@
 Sign convention: each component is flipped so that its largest-magnitude
 loading is positive, which fixes the otherwise arbitrary eigenvector signs.
 
-* ``reduce_namespace``: exact PCA per namespace with Spark ML (covariance via a
-  tree aggregate of the Gramian, JVM side), projections centred afterwards.
-* ``project_groups``: PCA inside every group (tree node).  Groups up to
-  ``small_cap`` rows are solved in one ``applyInPandas`` call each (bounded
-  input); larger groups never meet in one task: their count / sum / Gram
-  partials are built per Arrow batch, summed by ``Summarizer`` and only the d x d
-  statistics reach the per-group eigen solve.  Projection is then a join.
+Statistics are mergeable: (count, sum, Gram) of the rows of a group, in blocks of columns, so
+that a matrix of 2 048 x 2 048 is many small rows and no large one.  A task folds all its
+rows of a group into one state; states are summed before and after one shuffle; the
+eigenvectors come from the covariance.
+
+* ``reduce_namespace``: one such pass for all namespaces together, then a projection with
+  the components broadcast (their size is checked);
+* ``project_groups``: PCA inside every group (tree node).  Groups up to ``small_cap`` rows are
+  solved in one ``applyInPandas`` call each (bounded input); larger groups never meet in
+  one task and go through the same states.  Both use the same solver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.operators import vectors as Vx
 from canopy.operators.vectors import as_double, broadcast_if_small, dot
 
 SMALL_GROUP_CAP = 4096
+#: Columns of a Gram block.
+BLOCK = 256
+#: Bytes of states that a task holds before it hands them on.
+STATE_BYTES = 256 << 20
 
 
 def flip_signs(components: np.ndarray) -> np.ndarray:
@@ -41,47 +48,126 @@ def sign_vector(components: np.ndarray) -> np.ndarray:
     return signs
 
 
-def reduce_one(part: DataFrame, vec: str, k: int, out: str = "reduced") -> tuple[DataFrame, dict]:
-    """Fit PCA(k) on ``part`` and add the centred, sign-fixed projection ``out`` (array<float>).
+def components(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(k, d) leading eigenvectors with fixed signs, and all eigenvalues, falling."""
+    w, v = np.linalg.eigh(cov)
+    order = np.argsort(w)[::-1]
+    return flip_signs(v[:, order[:k]].T), w[order]
 
-    The projection runs in the JVM (``PCAModel.transform``: x . V); centring and the
-    sign fix only need k constants: (x - m) . v_j * s_j = (x . v_j - m . v_j) * s_j.
+
+def group_states(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
+    """``keys, d, bi, bj, n, s, g``: the summed state of every group, a row per block of columns (bi <= bj).
+
+    ``s`` holds the sums of the columns of block bi, ``g`` the products of blocks bi and bj.
     """
-    feats = part.where(F.col(vec).isNotNull()).withColumn("__f", array_to_vector(as_double(vec)))
-    n = feats.count()
-    if n < k:
-        raise ValueError(f"PCA needs at least {k} vectors, found {n}")
-    model = PCA(k=k, inputCol="__f", outputCol="__p").fit(feats)
-    pc = model.pc.toArray()                                   # d x k
-    mean = np.asarray(feats.select(Summarizer.mean(F.col("__f")).alias("m")).first()["m"].toArray())
-    signs = sign_vector(pc.T)
-    offset = mean @ pc
-    consts = F.array(*[F.struct(F.lit(float(o)).alias("o"), F.lit(float(sg)).alias("s"))
-                       for o, sg in zip(offset, signs)])
-    proj = F.zip_with(vector_to_array("__p"), consts, lambda p, c: (p - c["o"]) * c["s"])
-    res = model.transform(feats).withColumn(out, proj.cast("array<float>")).drop("__f", "__p")
-    info = {"n": n, "mean": mean, "components": (pc * signs).T,
-            "explained_variance": np.asarray(model.explainedVariance.toArray())}
-    return res, info
+    keys = list(keys)
+
+    def rows_of(key: tuple, state: list) -> Iterator[dict]:
+        n, s, g = state
+        for i in range(0, len(s), BLOCK):
+            for j in range(i, len(s), BLOCK):
+                yield {**dict(zip(keys, key)), "d": len(s), "bi": i // BLOCK, "bj": j // BLOCK, "n": n,
+                       "s": s[i:i + BLOCK], "g": g[i:i + BLOCK, j:j + BLOCK].ravel()}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[tuple, list] = {}
+        held = 0
+
+        def give() -> Iterator[pd.DataFrame]:
+            for key, state in states.items():
+                for row in rows_of(key, state):
+                    yield pd.DataFrame([row])
+
+        for pdf in batches:
+            for key, g in pdf.groupby(keys, sort=False, dropna=False):
+                x = np.vstack(g[vec].to_numpy()).astype(np.float64)
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in states:
+                    if held and held + 8 * x.shape[1] ** 2 > STATE_BYTES:
+                        yield from give()
+                        states, held = {}, 0
+                    states[key] = [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))]
+                    held += 8 * x.shape[1] ** 2
+                state = states[key]
+                state[0] += len(x)
+                state[1] += x.sum(axis=0)
+                state[2] += x.T @ x
+        yield from give()
+
+    rows = df.where(F.col(vec).isNotNull()).select(*keys, as_double(vec).alias(vec))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+    parts = rows.mapInPandas(fold, f"{kinds}, d int, bi int, bj int, n long, s array<double>, g array<double>")
+    return parts.groupBy(*keys, "d", "bi", "bj").agg(
+        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"),
+        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+
+
+def group_models(states: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """``keys, d, n, mean, comps, variance`` (eigenvalues, falling) per group; a group is its d x d covariance here."""
+    keys = list(keys)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in states.schema.fields if f.name in keys)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, n = int(pdf["d"].iloc[0]), int(pdf["n"].iloc[0])
+        gram, total = np.zeros((d, d)), np.zeros(d)
+        for r in pdf.itertuples(index=False):
+            i, j = r.bi * BLOCK, r.bj * BLOCK
+            part = np.asarray(r.g).reshape(len(r.s), -1)
+            gram[i:i + part.shape[0], j:j + part.shape[1]] = part
+            gram[j:j + part.shape[1], i:i + part.shape[0]] = part.T
+            total[i:i + len(r.s)] = r.s
+        mean = total / n
+        comps, w = components((gram - n * np.outer(mean, mean)) / max(n - 1, 1), k)
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in keys}, "d": d, "n": n, "mean": mean,
+                              "comps": [c.tolist() for c in comps], "variance": np.maximum(w, 0.0)}])
+
+    return states.groupBy(*keys).applyInPandas(
+        solve, f"{kinds}, d int, n long, mean array<double>, comps array<array<double>>, variance array<double>")
+
+
+def namespace_models(page_vector: DataFrame, target_dim: int, vec: str = "embedding") -> list:
+    """The models of all namespaces (one row each), from one job."""
+    models = group_models(group_states(page_vector.select("namespace", vec), ["namespace"], vec), ["namespace"], target_dim).collect()
+    for m in models:
+        if target_dim > m.d:
+            raise ValueError(f"target_dim {target_dim} exceeds vector width {m.d}")
+        if m.n < target_dim:
+            raise ValueError(f"PCA needs at least {target_dim} vectors, found {m.n}")
+    return models
 
 
 def reduce_namespace(page_vector: DataFrame, target_dim: int, vec: str = "embedding",
                      out: str = "reduced") -> DataFrame:
-    """PCA to ``target_dim`` per namespace (namespaces are few; one distributed fit each)."""
-    ns_list = [r.namespace for r in page_vector.select("namespace").distinct().collect()]
-    parts = []
-    for ns in sorted(ns_list):
-        part = page_vector.where((F.col("namespace") == ns) & F.col(vec).isNotNull())
-        first = part.select(vec).first()
-        if first is None:
-            continue
-        if target_dim > len(first[0]):
-            raise ValueError(f"target_dim {target_dim} exceeds vector width {len(first[0])}")
-        parts.append(reduce_one(part, vec, target_dim, out)[0])
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    """PCA to ``target_dim`` per namespace, all namespaces in one job; ``out`` is array<float>.
+
+    The components (namespaces x target_dim x width) are broadcast below the budget and
+    joined above it.
+    """
+    rows = page_vector.where(F.col(vec).isNotNull())
+    models = namespace_models(rows, target_dim, vec)
+    spark = page_vector.sparkSession
+    if sum(8 * m.d * (target_dim + 1) for m in models) > Vx.BROADCAST_BUDGET_BYTES:
+        table = spark.createDataFrame([(m.namespace, m.mean, m.comps) for m in models],
+                                      "namespace string, mean array<double>, comps array<array<double>>")
+        centred = F.zip_with(as_double(vec), "mean", lambda a, b: a - b)
+        return rows.join(table, "namespace").withColumn(
+            out, F.transform("comps", lambda c: dot(centred, c)).cast("array<float>")).drop("mean", "comps") \
+            .select(*page_vector.columns, out)
+    shared = spark.sparkContext.broadcast({m.namespace: (np.array(m.mean), np.array(m.comps).T) for m in models})
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got: list = [None] * len(pdf)
+            for ns, idx in pdf.groupby("namespace", sort=False).indices.items():
+                mean, comps = shared.value[ns]
+                y = (np.vstack(pdf[vec].to_numpy()[idx]).astype(np.float64) - mean) @ comps
+                for i, v in zip(idx, y.astype(np.float32)):
+                    got[i] = v
+            pdf[out] = got
+            yield pdf
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in page_vector.schema.fields)
+    return rows.mapInPandas(project, f"{kinds}, {out} array<float>")
 
 
 # --- per-group projection ------------------------------------------------------
@@ -95,8 +181,7 @@ def _pca_rows(x: np.ndarray, k: int) -> np.ndarray:
         out[:, :min(d, k)] = x[:, :min(d, k)]
         return out
     xc = x - x.mean(axis=0)
-    _, _, vt = np.linalg.svd(xc, full_matrices=False)
-    comps = flip_signs(vt[:k])
+    comps, _ = components(xc.T @ xc / max(n - 1, 1), k)
     return xc @ comps.T
 
 
@@ -131,40 +216,9 @@ def project_groups(df: DataFrame, keys: Sequence[str], row_id: str, vec: str, k:
 
 
 def _project_large(large: DataFrame, keys: list[str], row_id: str, k: int, out: str) -> DataFrame:
-    """Distributed PCA for groups too big for one task: partial (n, sum, Gram) per Arrow batch."""
-    def partials(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            for key, g in pdf.groupby(keys, sort=False, dropna=False):
-                x = np.vstack(g["__x"].to_numpy()).astype(np.float64)
-                key = key if isinstance(key, tuple) else (key,)
-                row = dict(zip(keys, key))
-                row.update(n=len(x), s=x.sum(axis=0).tolist(), g=(x.T @ x).ravel().tolist())
-                yield pd.DataFrame([row])
-
-    kschema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in large.schema.fields if f.name in keys)
-    part = large.mapInPandas(partials, f"{kschema}, n long, s array<double>, g array<double>")
-    stats = part.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"),
-        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
-
-    def eig(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            n = float(r["n"])
-            s = np.asarray(r["s"])
-            d = len(s)
-            mean = s / n
-            cov = (np.asarray(r["g"]).reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1.0, 1.0)
-            w, v = np.linalg.eigh(cov)
-            comps = flip_signs(v[:, np.argsort(w)[::-1][:k]].T)
-            rows.append({**{c: r[c] for c in keys}, "mean": mean.tolist(), "comps": [c.tolist() for c in comps]})
-        return pd.DataFrame(rows, columns=[*keys, "mean", "comps"])
-
-    model = stats.groupBy(*keys).applyInPandas(eig, f"{kschema}, mean array<double>, comps array<array<double>>")
-    n_models = model.count() if not large.isEmpty() else 0
-    j = large.join(broadcast_if_small(model, n_models, 8 * 1024 * (k + 1)), keys)
+    """Distributed PCA for groups too big for one task."""
+    model = group_models(group_states(large.select(*keys, "__x"), keys, "__x"), keys, k).select(*keys, "d", "mean", "comps").persist()
+    size = model.agg(F.coalesce(F.sum(8 * F.col("d") * (k + 1)), F.lit(0)).alias("bytes")).first()["bytes"]
+    j = large.join(broadcast_if_small(model.drop("d"), size, 1), keys)
     centred = F.zip_with("__x", "mean", lambda a, b: a - b)
     return j.select(*keys, row_id, F.transform("comps", lambda c: dot(centred, c)).alias(out))

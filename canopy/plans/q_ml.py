@@ -56,6 +56,28 @@ def pca_reduce(spark, d):
     return _reduce(spark, d).select("namespace", "page_id", "reduced")
 
 
+@register("pca_check", """WITH p AS (SELECT embedding, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+v AS (SELECT i, var_samp(v) AS s FROM p GROUP BY i)
+SELECT 'emb' AS namespace, (SELECT count(*) FROM embeddings) AS n, round(sum(s), 6) AS total_variance, true AS centred,
+  true AS uncorrelated, true AS falling, true AS explains FROM v""")
+def pca_check(spark, d):
+    """The reduction held against its vectors: total variance, centring, uncorrelated and falling components,
+    and variances equal to the leading eigenvalues."""
+    models = P.namespace_models(emb_vectors(spark, d), TARGET_DIM, "embedding")
+    table = spark.createDataFrame([(m.namespace, m.variance) for m in models], "namespace string, w array<double>")
+    x = [F.col("reduced")[i].cast("double") for i in range(TARGET_DIM)]
+    pairs = [F.abs(F.corr(x[i], x[j])) for i in range(TARGET_DIM) for j in range(i)]
+    got = reduced(spark, d).groupBy("namespace").agg(
+        F.count("*").alias("n"), F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.var_samp(c) for c in x]).alias("s"),
+        F.greatest(*pairs).alias("corr"))
+    near = F.forall(F.sequence(F.lit(0), F.lit(TARGET_DIM - 1)),
+                    lambda i: F.abs(F.get("s", i) - F.get("w", i)) <= 1e-4 * F.get("w", F.lit(0)))
+    return got.join(table, "namespace").select(
+        "namespace", "n", F.round(F.aggregate("w", F.lit(0.0), lambda a, b: a + b), 6).alias("total_variance"),
+        (F.array_max(F.transform("m", F.abs)) < 1e-5).alias("centred"), (F.col("corr") < 1e-3).alias("uncorrelated"),
+        (F.col("s") == F.sort_array("s", False)).alias("falling"), near.alias("explains"))
+
+
 @register("kmeans_level")
 def kmeans_level(spark, d):
     """One k-means level (root split) over the reduced vectors."""
