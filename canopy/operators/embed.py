@@ -36,8 +36,31 @@ def hashing_embed(texts: DataFrame, dim: int = 64) -> DataFrame:
                      vector_to_array("__n").cast("array<float>").alias("embedding"))
 
 
-def embed_pages(texts: DataFrame, embed_fn: Callable[[pd.Series], list], dim: int) -> DataFrame:
-    """Apply a Python model batch-wise; returns (..., embedding, error)."""
+def embed_halving(text: str | None, embed_fn: Callable[[pd.Series], list],
+                  too_large: Callable[[Exception], bool]) -> np.ndarray:
+    """One text's vector; as long as the model finds it too large, its first half is tried."""
+    text = text or ""
+    while text:
+        try:
+            return np.asarray(embed_fn(pd.Series([text]))[0], dtype=np.float32)
+        except Exception as e:  # noqa: BLE001 - the caller tells which errors mean a smaller text may pass
+            if not too_large(e):
+                raise
+            text = text[:len(text) // 2]
+    raise ValueError("empty input text")
+
+
+def says_too_large(e: Exception) -> bool:
+    return "input is too large to process" in str(e)
+
+
+def embed_pages(texts: DataFrame, embed_fn: Callable[[pd.Series], list], dim: int,
+                too_large: Callable[[Exception], bool] = says_too_large) -> DataFrame:
+    """Apply a Python model batch-wise; returns (..., embedding, error).
+
+    A batch that the model rejects is embedded page by page: a text that is too large is
+    halved until it is accepted (I1), any other failure is the page's error and no one else's.
+    """
     keep = [c for c in texts.columns if c != "text"]
     kfields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields if f.name in keep)
 
@@ -46,19 +69,16 @@ def embed_pages(texts: DataFrame, embed_fn: Callable[[pd.Series], list], dim: in
             out = pdf[keep].copy()
             embs, errs = [], []
             try:
-                vecs = embed_fn(pdf["text"])
-                embs = [np.asarray(v, dtype=np.float32).tolist() for v in vecs]
+                embs = [np.asarray(v, dtype=np.float32).tolist() for v in embed_fn(pdf["text"])]
                 errs = [None] * len(pdf)
-            except Exception:  # fall back to one page at a time to isolate failures
+            except Exception:  # noqa: BLE001 - isolate the pages that fail
                 for t in pdf["text"]:
                     try:
-                        if not t:
-                            raise ValueError("empty input text")
-                        embs.append(np.asarray(embed_fn(pd.Series([t]))[0], dtype=np.float32).tolist())
+                        embs.append(embed_halving(t, embed_fn, too_large).tolist())
                         errs.append(None)
                     except Exception as e:  # noqa: BLE001 - per-page failure is data
                         embs.append(None)
-                        errs.append(str(e)[:200])
+                        errs.append(str(e))
             out["embedding"] = embs
             out["error"] = errs
             yield out

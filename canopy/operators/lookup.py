@@ -68,17 +68,26 @@ def parent_id_of(tree: DataFrame, namespace: str, node_id: int) -> DataFrame:
     return node_by_id(tree, namespace, node_id).select(*KEY, "parent_id")
 
 
-def search_pages_like(page_log: DataFrame, text: str, where: str = "both", limit: int = 50,
-                      offset: int = 0) -> DataFrame:
-    """ASCII-case-insensitive substring match on title / abstract / both, ordered by title."""
+def _pages_like(page_log: DataFrame, text: str, where: str) -> DataFrame:
     pat = ascii_fold(F.lit(text))
     t_hit = F.contains(ascii_fold(F.col("title")), pat)
     a_hit = F.contains(ascii_fold(F.coalesce(F.col("abstract"), F.lit(""))), pat)
     cond = {"title": t_hit, "abstract": a_hit, "both": t_hit | a_hit}[where]
-    return (page_log.where(cond).select(*PKEY, "title", "url")
+    return page_log.where(cond)
+
+
+def search_pages_like(page_log: DataFrame, text: str, where: str = "both", limit: int = 50,
+                      offset: int = 0) -> DataFrame:
+    """ASCII-case-insensitive substring match on title / abstract / both, ordered by title."""
+    return (_pages_like(page_log, text, where).select(*PKEY, "title", "url")
             .orderBy("title", "page_id").offset(offset).limit(limit))
 
 
+def count_pages_like(page_log: DataFrame, text: str, where: str = "both") -> DataFrame:
+    """How many pages such a search has in all, per namespace."""
+    return _pages_like(page_log, text, where).groupBy("namespace").agg(F.count("*").alias("total_count"))
+
+
 def search_labels_like(tree: DataFrame, rollup: DataFrame, text: str, limit: int = 50) -> DataFrame:
     """Nodes whose first or final label contains ``text``, largest doc_count first."""
     pat = ascii_fold(F.lit(text))
@@ -91,7 +100,7 @@ def search_labels_like(tree: DataFrame, rollup: DataFrame, text: str, limit: int
 
 def title_suggestions(page_log: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     """Distinct titles starting with ``prefix`` (ASCII case-insensitive)."""
-    return (page_log.where(ascii_fold(F.col("title")).startswith(prefix.lower()))
+    return (page_log.where(ascii_fold(F.col("title")).startswith(ascii_fold(F.lit(prefix))))
             .select("title").distinct().orderBy("title").limit(limit))
 
 

@@ -55,6 +55,12 @@ def vector_counts(page_vector: DataFrame, tree: DataFrame) -> DataFrame:
     return e.join(m, "namespace", "full")
 
 
+def clusters_pending(page_vector: DataFrame, cluster: str = "cluster_id", position: str = "three_d") -> DataFrame:
+    """Pages without a position per cluster."""
+    return page_vector.where(F.col(cluster).isNotNull() & F.col(position).isNull()).groupBy(
+        "namespace", F.col(cluster).alias("cluster_id")).agg(F.count("page_id").alias("pages"))
+
+
 def namespaces(*dfs: DataFrame) -> DataFrame:
     """Distinct namespaces over the given tables."""
     out = dfs[0].select("namespace")

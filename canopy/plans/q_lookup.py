@@ -39,11 +39,18 @@ def parent_id_of(spark, d):
 
 @register("node_view", V("""SELECT namespace, node_id, parent_id, depth,
        coalesce(final_label, first_label, concat('Node ', CAST(node_id AS VARCHAR))) AS label,
-       child_count = 0 AS is_leaf, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z
+       child_count = 0 AS is_leaf, CASE WHEN node_id % 5 = 4 THEN node_id * 0.5 ELSE 0 END::DOUBLE AS x,
+       CASE WHEN node_id % 5 = 4 THEN -node_id ELSE 0 END::DOUBLE AS y, CASE WHEN node_id % 5 = 4 THEN depth ELSE 0 END::DOUBLE AS z
 FROM doc_tree""", "doc_tree"))
 def node_view(spark, d):
-    t = fx.doc_tree(spark, d).withColumn("centroid_3d", F.lit(None).cast("array<double>"))
-    return L.node_view(t)
+    """Nodes with no position, one too short, a NaN, an infinite one (all at the origin) and a good one."""
+    at, n = F.array((F.col("node_id") * 0.5).cast("double"), (-F.col("node_id")).cast("double"), F.col("depth").cast("double")), F.col("node_id") % 5
+
+    def spoiled(v):
+        return F.concat(F.slice(at, 1, 2), F.array(F.lit(float(v))))
+
+    return L.node_view(fx.doc_tree(spark, d).withColumn("centroid_3d", F.when(n == 1, F.slice(at, 1, 2)).when(n == 2, spoiled("nan"))
+                                                        .when(n == 3, spoiled("-inf")).when(n == 4, at)))
 
 
 @register("vector_scan", V("""SELECT namespace, page_id, cluster_node_id FROM page_vector
@@ -89,6 +96,27 @@ def page_like_search(spark, d):
     return L.search_pages_like(fx.page_log(spark, d), "the", "both", limit=50, offset=10)
 
 
+@register("page_like_total", V("""SELECT namespace, count(*) AS total_count FROM page_log
+WHERE contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the')
+   OR contains(translate(coalesce(abstract, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the')
+GROUP BY namespace""", "page_log"))
+def page_like_total(spark, d):
+    """The total count beside a page search."""
+    return L.count_pages_like(fx.page_log(spark, d), "the", "both")
+
+
+@register("title_suggest_accents", V("""SELECT DISTINCT title FROM page_log
+WHERE starts_with(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  translate((SELECT substring(title, 1, 3) FROM page_log WHERE NOT regexp_matches(substring(title, 1, 3), '^[ -~]*$')
+             ORDER BY page_id LIMIT 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+ORDER BY title LIMIT 10""", "page_log"))
+def title_suggest_accents(spark, d):
+    """Suggestions for a prefix with a letter beyond ASCII (the first title's that has one)."""
+    pl = fx.page_log(spark, d)
+    first = pl.where(~F.col("title").substr(1, 3).rlike("^[ -~]*$")).orderBy("page_id").select("title").first()
+    return L.title_suggestions(pl, first.title[:3], 10) if first else pl.select("title").limit(0)
+
+
 @register("title_suggest", V("""SELECT DISTINCT title FROM page_log
 WHERE starts_with(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'th')
 ORDER BY title LIMIT 10""", "page_log"))
@@ -266,6 +294,14 @@ def chunk_page_counts(spark, d):
     return St.chunk_page_counts(fx.page_log(spark, d))
 
 
+@register("clusters_pending_projection", V("""SELECT namespace, cluster_node_id AS cluster_id, count(page_id) AS pages FROM page_vector
+WHERE cluster_node_id IS NOT NULL AND embedding IS NULL GROUP BY 1, 2""", "page_vector"))
+def clusters_pending_projection(spark, d):
+    """Pages of every cluster that still wait for a position (pages without a vector have none)."""
+    pv = fx.page_vector(spark, d).withColumn("three_d", F.col("embedding"))
+    return St.clusters_pending(pv, "cluster_node_id", "three_d")
+
+
 @register("vector_counts", V("""SELECT coalesce(e.namespace, m.namespace) AS namespace, e.embeddings, m.max_node_id
 FROM (SELECT namespace, count(embedding) AS embeddings FROM page_vector GROUP BY 1) e
 FULL JOIN (SELECT namespace, max(node_id) AS max_node_id FROM doc_tree GROUP BY 1) m ON e.namespace = m.namespace""",

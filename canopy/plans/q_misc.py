@@ -37,14 +37,15 @@ LEFT JOIN (VALUES {_shape_values(Vx.SIBLING_SHAPES)}) s(gs, rk, x, y, z)
   ON t.parent_id IS NOT NULL AND s.gs = t.gs AND s.rk = t.rk""")
 
 
-@register("vec3_text", V("""SELECT node_id, printf('[%.8f, %.8f, %.8f]', x, y, z) AS vec_text FROM gp""",
+@register("vec3_text", V("""SELECT node_id, printf('[%.8f, %.8f, %.8f]', x, y, z) AS vec_text, round(x, 8) + 0.0 AS x, round(y, 8) + 0.0 AS y,
+       round(z, 8) + 0.0 AS z FROM gp""",
                          "emb_tree", extra=[_GEO_SHAPE]))
 def vec3_text(spark, d):
     """H6: 3-D vectors as text (8 decimals, non-finite as 0) — and parsed back without loss."""
     g = Vx.geometric_projection(fx.emb_tree(spark, d))
     txt = g.select("node_id", vec3.to_text(F.array("x", "y", "z")).alias("vec_text"))
     back = txt.select("node_id", "vec_text", vec3.from_text("vec_text").alias("v"))
-    return back.where(F.size("v") == 3).select("node_id", "vec_text")
+    return back.select("node_id", "vec_text", *[(F.col("v")[i] + F.lit(0.0)).alias(c) for i, c in enumerate("xyz")])
 
 
 @register("node_validity", V("""SELECT vec_id AS rec_id, CASE WHEN label = 0 THEN NULL ELSE vec_id END AS node_id,
@@ -155,7 +156,7 @@ def running_embedded(spark, d):
     from canopy.operators.windows import grouped_prefix_sum
     pv = fx.page_vector(spark, d).select("namespace", "page_id",
                                          F.col("embedding").isNotNull().cast("bigint").alias("e"))
-    return grouped_prefix_sum(pv, ["namespace"], "page_id", "e", "running", inclusive=True, block=64).select(
+    return grouped_prefix_sum(pv, ["namespace"], "page_id", "e", "running", inclusive=True, rows_each=64).select(
         "namespace", "page_id", "running")
 
 

@@ -16,6 +16,7 @@ from canopy import tables
 from canopy.functions import lang
 from canopy.sources import articles as A
 from canopy.sources import pages as P
+from canopy.sources.archives import damaged, read_archives
 from canopy.sources.scratch import scratch_dir
 from canopy.plans.registry import register
 
@@ -46,24 +47,36 @@ def parse_quarantine(spark, d):
     return bad.groupBy("namespace").agg(F.count("*").alias("quarantined"))
 
 
-@register("record_counts", V("SELECT namespace, chunk_name, count(*) AS records FROM page_log GROUP BY 1, 2",
-                             "page_log"))
+@register("record_counts", V("""SELECT namespace, chunk_name, count(*) AS records FROM page_log GROUP BY 1, 2
+UNION ALL SELECT namespace, chunk_name, count(*) FROM page_batch GROUP BY 1, 2""", "page_log", "page_batch"))
 def record_counts(spark, d):
     """Records per written chunk file."""
     root = _written_records(spark, d)
     c = P.record_counts(spark, root)
     c = c.select(F.regexp_extract("file", r"namespace=([^/]+)/", 1).alias("namespace"),
                  F.regexp_extract("file", r"chunk_name=([^/]+)/", 1).alias("chunk_name"), "records")
-    return c.where(~F.col("chunk_name").endswith("_chunk_pages")).groupBy("namespace", "chunk_name").agg(
-        F.sum("records").alias("records"))
+    return c.groupBy("namespace", "chunk_name").agg(F.sum("records").alias("records"))
 
 
 @register("tar_ingest", V("SELECT * FROM page_log", "page_log"))
 def tar_ingest(spark, d):
-    """A2: one tar.gz per chunk, streamed back one task per archive."""
+    """A2: one tar.gz per chunk, read back by the archive source, a task per archive."""
     root = scratch_dir(spark, "tar")
-    archives = P.write_archives(fx.page_log(spark, d), root)
-    return P.read_archives(archives.cache())
+    P.write_archives(fx.page_log(spark, d), root).write.format("noop").mode("overwrite").save()
+    return read_archives(spark, root)[0]
+
+
+@register("tar_quarantine", V("""SELECT namespace, chunk_name, 'record without an id' AS error, count(*) AS lines
+FROM page_batch GROUP BY 1, 2
+UNION ALL SELECT 'damaged_namespace', 'cut', 'damaged archive', 1""", "page_batch"))
+def tar_quarantine(spark, d):
+    """A2: what is set aside: every record without an id, and an archive that is cut off, named."""
+    root = scratch_dir(spark, "tar-bad")
+    batch = fx.page_batch(spark, d).withColumn("page_id", F.lit(None).cast("long"))
+    P.write_archives(batch.unionByName(fx.page_log(spark, d).limit(0)), root).write.format("noop").mode("overwrite").save()
+    damaged(f"{root}/damaged_namespace/cut.tar.gz")
+    bad = read_archives(spark, root)[1]
+    return bad.groupBy("namespace", "chunk_name", "error").agg(F.count("*").alias("lines"))
 
 
 @register("chunk_manifest", V("""SELECT namespace, chunk_name, CAST(count(*) AS DOUBLE) AS size_value, 'pages' AS size_unit
@@ -187,20 +200,31 @@ def languages_clean(spark, d):
     return load_languages_csv(spark, root)
 
 
-@register("slim_export", V("""SELECT 'page_log' AS table_name, count(*) AS source_rows FROM page_log
-UNION ALL SELECT 'page_vector', count(*) FROM page_vector UNION ALL SELECT 'cluster_tree', count(*) FROM doc_tree""",
-                           "page_log", "page_vector", "doc_tree").replace(
-    "count(*) AS source_rows", "count(*) AS source_rows, count(*) AS target_rows, true AS ok")
-    .replace("SELECT 'page_vector', count(*)", "SELECT 'page_vector', count(*), count(*), true")
-    .replace("SELECT 'cluster_tree', count(*)", "SELECT 'cluster_tree', count(*), count(*), true"))
+@register("slim_export", V("""SELECT table_name, namespace, n AS source_rows, n AS target_rows, true AS same_content, true AS ok FROM (
+  SELECT 'page_log' AS table_name, namespace, count(*) AS n FROM page_log GROUP BY 2
+  UNION ALL SELECT 'page_vector', namespace, count(*) FROM page_vector GROUP BY 2
+  UNION ALL SELECT 'cluster_tree', namespace, count(*) FROM doc_tree GROUP BY 2)""", "page_log", "page_vector", "doc_tree"))
 def slim_export(spark, d):
-    """A11 + A13: column-pruned serving copy partitioned by namespace, then reconciled by counts."""
+    """A11 + A13: column-pruned serving copy partitioned by namespace, then reconciled by counts and content."""
     from canopy.sources.export import reconcile, slim_copy
     root = scratch_dir(spark, "slim")
     src = {"page_log": fx.page_log(spark, d), "page_vector": fx.page_vector(spark, d),
            "cluster_tree": fx.doc_tree(spark, d)}
     dst = slim_copy(spark, src, root)
-    return reconcile(src, dst)
+    return reconcile(src, dst, by_namespace=True)
+
+
+@register("typed_export", V("""SELECT namespace, count(*) AS source_rows, count(*) AS target_rows, true AS same_content, true AS ok,
+  round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 4) AS total FROM page_vector GROUP BY namespace""", "page_vector"))
+def typed_export(spark, d):
+    """The whole vector table from float32 blobs to typed Parquet, its content compared with the source."""
+    from canopy.sources.export import reconcile, typed_copy
+    pv = fx.page_vector(spark, d)
+    blobs = pv.select("namespace", "page_id", "cluster_node_id", P.encode_f32("embedding").alias("embedding_vector"))
+    typed = typed_copy(blobs, {"embedding_vector": "embedding"}, scratch_dir(spark, "typed"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    sums = typed.groupBy("namespace").agg(F.round(F.sum(total), 4).alias("total"))
+    return reconcile({"page_vector": pv}, {"page_vector": typed}, by_namespace=True).drop("table_name").join(sums, "namespace")
 
 
 @register("blob_codec", V("SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, true AS roundtrip_ok FROM embeddings"))

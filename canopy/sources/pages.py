@@ -92,7 +92,7 @@ def write_archives(page_log: DataFrame, path: str) -> DataFrame:
         ns, chunk = pdf["namespace"].iloc[0], pdf["chunk_name"].iloc[0]
         fs, base = _fs(f"{root}/{ns}")
         fs.create_dir(base, recursive=True)
-        lines = "\n".join(json.dumps({"identifier": int(r.page_id), "name": r.title, "url": r.url,
+        lines = "\n".join(json.dumps({"identifier": None if pd.isna(r.page_id) else int(r.page_id), "name": r.title, "url": r.url,
                                       "abstract": r.abstract}, ensure_ascii=False)
                           for r in pdf.sort_values("page_id").itertuples()) + "\n"
         data = lines.encode("utf-8")
@@ -108,48 +108,6 @@ def write_archives(page_log: DataFrame, path: str) -> DataFrame:
         pack, "namespace string, chunk_name string, archive string")
 
 
-def read_archives(archives: DataFrame, all_members: bool = False, batch_rows: int = 10000) -> DataFrame:
-    """A2: (namespace, chunk_name, archive) -> page_log rows, streaming each archive in its own task.
-
-    Only the first member is read unless ``all_members``.  A record without an id is an error
-    (see ``read_page_records`` for the quarantine variant)."""
-    n = max(archives.count(), 1)
-    spread = archives.repartition(n)          # round robin: one archive per task
-
-    def stream(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for r in pdf.itertuples():
-                rows = []
-                fs, p = _fs(r.archive)
-                with fs.open_input_stream(p) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tf:
-                    for member in tf:
-                        if not member.isfile():
-                            continue
-                        fh = tf.extractfile(member)
-                        for raw_line in fh:
-                            line = raw_line.decode("utf-8").strip()
-                            if not line:
-                                continue
-                            rec = json.loads(line)
-                            pid = rec.get("identifier", rec.get("id"))
-                            if pid is None:
-                                raise ValueError(f"record without an id in {r.archive}")
-                            rows.append((r.namespace, int(pid), rec.get("name"), r.chunk_name, rec.get("url"),
-                                         rec.get("abstract")))
-                            if len(rows) >= batch_rows:
-                                yield pd.DataFrame(rows, columns=PAGE_COLS)
-                                rows = []
-                        if not all_members:
-                            break
-                if rows:
-                    yield pd.DataFrame(rows, columns=PAGE_COLS)
-
-    return spread.mapInPandas(stream, PAGE_LOG_SCHEMA)
-
-
-PAGE_COLS = ["namespace", "page_id", "title", "chunk_name", "url", "abstract"]
-
-
 # --- A3 / A16 ----------------------------------------------------------------------------
 
 MANIFEST = T.StructType([
