@@ -89,7 +89,7 @@ def read_archive(root: str, a: Archive) -> Iterator[pa.RecordBatch]:
     from canopy.sources.pages import _fs
     files, _ = _fs(root)
     try:
-        with files.open_input_stream(a.path) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
+        with files.open_input_stream(a.path, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
             for member in tar:
                 if not member.isfile():
                     continue
@@ -153,5 +153,5 @@ def damaged(path: str) -> None:
         tar.addfile(info, io.BytesIO(body))
     files, p = _fs(path)
     files.create_dir(p.rpartition("/")[0], recursive=True)
-    with files.open_output_stream(p) as out:
+    with files.open_output_stream(p, compression=None) as out:
         out.write(data.getvalue()[:60])

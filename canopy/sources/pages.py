@@ -98,7 +98,7 @@ def write_archives(page_log: DataFrame, path: str) -> DataFrame:
         data = lines.encode("utf-8")
         target = f"{root}/{ns}/{chunk}.tar.gz"
         fs_t, p_t = _fs(target)
-        with fs_t.open_output_stream(p_t) as out, tarfile.open(fileobj=out, mode="w|gz") as tf:
+        with fs_t.open_output_stream(p_t, compression=None) as out, tarfile.open(fileobj=out, mode="w|gz") as tf:
             info = tarfile.TarInfo(name=f"{chunk}.ndjson")
             info.size = len(data)
             tf.addfile(info, io.BytesIO(data))
