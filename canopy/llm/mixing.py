@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from canopy.llm.common import SPACE_CLASS, words
 
@@ -117,8 +118,12 @@ def _plan(docs: DataFrame, mix: Mix, carry: bool = False) -> tuple[DataFrame, Da
     goals = targets(slots, mix)
     before = Window.partitionBy("src").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = slots.select("src", "slot", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("slot_start"))
-    inside = Window.partitionBy("src", "slot").orderBy("key", "doc_id", "size") \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    order = ["key", "doc_id", "size"]
+    if carry:  # rows that tie so far differ in what else they hold
+        other = [F.col("row")[f.name] for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+        rows = rows.withColumn("tie", F.xxhash64(*other))
+        order.append("tie")
+    inside = Window.partitionBy("src", "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["src", "slot"]) \
         .withColumn("at", F.col("slot_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return placed, goals.join(quotas(goals, mix), "src")

@@ -57,6 +57,14 @@ def test_mixing_odd_rows_and_documents(spark, odd_docs):
     assert mixing.mixed_documents(odd_docs.limit(0)).count() == 0
 
 
+def test_mixed_documents_do_not_depend_on_the_order_of_tied_rows(spark):
+    rows = [(None, f"{c} " * 100, "a", c) for c in "abcdefgh"] + [(1, "x " * 90, "b", "x"), (1, "y " * 90, "b", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mark string")
+    got = [sorted(map(repr, mixing.mixed_documents(spark.createDataFrame(part, df.schema).repartition(n)).collect()))
+           for n, part in ((1, rows), (3, rows[::-1]), (7, rows[4:] + rows[:4]))]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
 def test_mixing_pieces_and_quotas(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     per = {r.doc_id: r for r in mixing.mixed(docs).collect()}
