@@ -11,7 +11,8 @@ Queries meet buckets block by block; each pair of blocks gives at most k rows a
 
 Cases: rows with a null id, a null vector or null, NaN or infinite components take no part;
 vectors of unequal width are compared as if padded with zeros; rows with the query's own id
-are never its results; equal scores go by the smaller id; fewer rows than k give fewer
+are never its results; every query row is answered by itself, so rows that share an id give k
+results each, and rows that are equal give the same ones; equal scores go by the smaller id; fewer rows than k give fewer
 results; an empty table gives none; further columns are ignored.
 """
 
@@ -50,7 +51,7 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-BLOCK = "block long, n int, width int, longest double, ids binary, matrix binary, floor binary"
+BLOCK = "block long, n int, width int, longest double, ids binary, matrix binary, floor binary, own binary"
 
 
 def _blocks(rows_each: int):
@@ -59,9 +60,10 @@ def _blocks(rows_each: int):
     def pack(part: pd.DataFrame, number: int) -> pd.DataFrame:
         width = max(map(len, part["v"]), default=0)
         low = part["low"].to_numpy(float) if "low" in part else np.full(len(part), -np.inf)
+        own = part["own" if "own" in part else "vec_id"].to_numpy(np.int64)
         return pd.DataFrame([(number, len(part), width, float(np.sqrt(part["norm2"].max())),
                               part["vec_id"].to_numpy(np.int64).tobytes(),
-                              _matrix(part["v"], width).tobytes(), low.tobytes())],
+                              _matrix(part["v"], width).tobytes(), low.tobytes(), own.tobytes())],
                             columns=[c.split()[0] for c in BLOCK.split(", ")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,11 +85,11 @@ def _open(block) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(block.matrix, np.int64).reshape(len(ids), block.width)
 
 
-def probe(q_ids: np.ndarray, q: np.ndarray, low: np.ndarray, ids: np.ndarray, p: np.ndarray,
+def probe(q_ids: np.ndarray, own: np.ndarray, q: np.ndarray, low: np.ndarray, ids: np.ndarray, p: np.ndarray,
           k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, vector ids, scores) of the at most k best rows of one bucket that reach ``low``.
 
-    The bucket is sorted by falling length.
+    ``own`` holds the vector ids that are no results of a query.  The bucket is sorted by falling length.
     """
     width = max(q.shape[1], p.shape[1])
     q, p = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, p))
@@ -108,7 +110,7 @@ def probe(q_ids: np.ndarray, q: np.ndarray, low: np.ndarray, ids: np.ndarray, p:
     by_length = by_length[np.argsort(prefix[by_length], kind="stable")]
 
     def best(i: int, cand: np.ndarray, score: np.ndarray):
-        ok = (score >= low[i]) & (ids[cand] != q_ids[i])
+        ok = (score >= low[i]) & (ids[cand] != own[i])
         cand, score = cand[ok], score[ok]
         if len(score) > k:
             ok = score >= np.partition(score, len(score) - k)[len(score) - k]
@@ -149,7 +151,8 @@ def _probe_all(pairs: DataFrame, k: int) -> DataFrame:
                 ids, p = _open(row)
                 q_ids = np.frombuffer(row.q_ids, np.int64)
                 q = np.frombuffer(row.q_matrix, np.int64).reshape(len(q_ids), row.q_width)
-                out = list(probe(q_ids, q, np.frombuffer(row.q_floor, np.float64), ids, p, k))
+                own = np.frombuffer(row.q_own, np.int64)
+                out = list(probe(q_ids, own, q, np.frombuffer(row.q_floor, np.float64), ids, p, k))
                 if out:
                     yield pd.DataFrame({
                         "query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]),
@@ -161,7 +164,7 @@ def _probe_all(pairs: DataFrame, k: int) -> DataFrame:
 
 def _query_blocks(queries: DataFrame, rows_each: int) -> DataFrame:
     q = queries.sortWithinPartitions(F.desc("norm2")).mapInPandas(_blocks(rows_each), BLOCK)
-    return q.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "floor", "width")))
+    return q.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "floor", "width", "own")))
 
 
 def _met(query_blocks: DataFrame, buckets: DataFrame, numbers: list[int]) -> DataFrame:
@@ -180,20 +183,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
     points = quantised(vectors, scale)
     n = partitions_for(points, bucket_rows)
     ranged = points.repartitionByRange(n, F.desc("norm2"), F.col("vec_id")).sortWithinPartitions(F.desc("norm2"))
-    buckets = materialise(ranged.mapInPandas(_blocks(bucket_rows), BLOCK).drop("floor"), "topk-buckets")
+    buckets = materialise(ranged.mapInPandas(_blocks(bucket_rows), BLOCK).drop("floor", "own"), "topk-buckets")
     # block numbers and lengths only, one row per bucket
     order = [r[0] for r in buckets.select("block", "longest").orderBy(F.desc("longest"), "block").collect()]
     if not order:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    queries = points.filter(is_query)
+    # a query is a row: its number stands for it, and equal rows are asked once
+    asked = materialise(points.filter(is_query).groupBy("vec_id", "v").agg(F.count("*").alias("copies"), F.first("norm2").alias("norm2"))
+                        .withColumn("row", F.monotonically_increasing_id()), "topk-queries")
+    queries = asked.select(F.col("row").alias("vec_id"), F.col("vec_id").alias("own"), "v", "norm2")
     first = materialise(_probe_all(_met(_query_blocks(queries, query_rows), buckets, order[:1]), k), "topk-first")
     floor = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")) \
         .filter(F.col("n") >= k).select(F.col("query_id").alias("f_id"), F.col("low").cast("double").alias("low"))
-    # a repeated query id has one threshold only; twice as many rows cannot raise it wrongly, as the
-    # rows of one id are answered alike below
     known = queries.join(floor, F.col("vec_id") == F.col("f_id"), "left").drop("f_id") \
         .fillna({"low": float("-inf")})
     rest = _probe_all(_met(_query_blocks(known, query_rows), buckets, order[1:]), k)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k) \
-        .select("query_id", "rank", "vec_id", "score")
+    found = first.unionByName(rest).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    rows = asked.select(F.col("row").alias("query_id"), F.col("vec_id").alias("own"), "copies")
+    return found.join(rows, "query_id").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))) \
+        .select(F.col("own").alias("query_id"), "rank", "vec_id", "score")

@@ -234,6 +234,17 @@ def test_top_k_equals_brute_force(spark, kind):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def test_top_k_answers_every_query_row_by_itself(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [4.0, 1.0]), (3, [0.0, 9.0]), (5, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=2).collect()
+    want = []
+    for i, q in rows[:3]:
+        ranked = sorted(((-sum(int(64 * a) * int(64 * b) for a, b in zip(q, v)), j) for j, v in rows if j != i))[:2]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(ranked)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_top_k_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<double>")
     got = topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
