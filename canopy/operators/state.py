@@ -21,13 +21,20 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return agg.select(*keys, *[F.col("__r")[c].alias(c) for c in cols])
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
-    """M1: replace whole rows by key; within the batch the last (highest ``seq``) duplicate wins."""
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: str | None = None,
+           dealt_by: str | None = None) -> DataFrame:
+    """M1: replace whole rows by key; within the batch the last (highest ``seq``) duplicate wins.
+
+    ``dealt_by``: a column that follows from the keys; the result is left partitioned by it, from one shuffle.
+    """
     cols = old.columns
     o = old.select(*cols, F.lit(0).alias("__src"), F.lit(0).cast("bigint").alias("__seq"))
     n = new.select(*cols, F.lit(1).alias("__src"),
                    (F.col(seq) if seq else F.lit(0)).cast("bigint").alias("__seq"))
-    return latest_per_key(o.unionByName(n), keys, ["__src", "__seq"]).select(*cols)
+    rows = o.unionByName(n)
+    if dealt_by:
+        rows, keys = rows.repartition(dealt_by), [dealt_by, *keys]
+    return latest_per_key(rows, keys, ["__src", "__seq"]).select(*cols)
 
 
 def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -62,3 +62,41 @@ def test_last_duplicate_of_a_batch_wins(spark, table):
         .unionByName(pages(spark, [7], "second", "2025-11-01 00:00:00").withColumn("seq", F.lit(2)))
     table.upsert(batch, "seq")
     assert table.read().where("page_id = 7").first().title == "second 7"
+
+
+def plans_of(table, work):
+    """The plans of the rows that ``work`` writes."""
+    seen, put = [], table._put
+    table._put = lambda rows, batch: (seen.append(rows._jdf.queryExecution().executedPlan().toString()), put(rows, batch))
+    work()
+    del table._put
+    return seen
+
+
+def test_whole_rows_are_shuffled_once_at_most(spark, table):
+    change = spark.createDataFrame([("ns", 5, "named"), ("ns", 6, "too")], "namespace string, page_id long, title string")
+    plan, = plans_of(table, lambda: table.upsert(pages(spark, [3, 900], "new", "2025-11-01 00:00:00")))
+    assert plan.count("Exchange hashpartitioning") == 1
+    plan, = plans_of(table, lambda: table.merge_columns(change, ["title"]))
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    plan, = plans_of(table, lambda: table.delete(change))
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan  # that of the distinct keys
+
+
+@pytest.mark.parametrize("budget", [0, 1500, 10**6])
+def test_changes_beyond_the_broadcast_budget(spark, table, monkeypatch, budget):
+    """In one round, in many, or by a shuffle: the same rows; duplicates and null keys as ever."""
+    from canopy.operators import vectors as Vx
+    from canopy.operators.versions import rounds
+    monkeypatch.setattr(Vx, "BROADCAST_BUDGET_BYTES", budget)
+    table.upsert(pages(spark, [300, 301], "new", "2025-11-01 00:00:00").withColumn(
+        "namespace", F.when(F.col("page_id") == 300, F.lit("ns"))))
+    ids = list(range(0, 200, 2))
+    table.merge_columns(spark.createDataFrame([("ns", i, f"t{i}") for i in ids] + [("ns", 4, "t4")],
+                                              "namespace string, page_id long, title string"), ["title"])
+    table.delete(spark.createDataFrame([("ns", i) for i in range(0, 200, 3)] + [("ns", 3), (None, 301)],
+                                       "namespace string, page_id long"))
+    rows = sorted((r.page_id, r.title) for r in table.read().collect())
+    want = [(i, f"old {i}" if i % 2 else f"t{i}") for i in range(200) if i % 3] + [(4, "t4"), (300, "new 300"), (301, "new 301")]
+    assert rows == sorted(want)
+    assert rounds({0: 5, 1: 5, 2: 9, 3: 50}, 10) == [({0, 1}, True), ({2}, True), ({3}, False)]
