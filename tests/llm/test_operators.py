@@ -245,6 +245,47 @@ def test_top_k_answers_every_query_row_by_itself(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["unit", "near", "ties", "large"])
+def test_top_k_of_groups_and_shares_equals_brute_force(spark, kind):
+    """Many buckets, early ones first, and more queries than a task holds; scores beyond 2^53 for large."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(600, 10))
+    if kind == "near":
+        v = v[rng.integers(0, 12, 600)] + 0.02 * rng.normal(size=v.shape)
+    if kind == "ties":
+        v = np.round(v[rng.integers(0, 6, 600)]) * (rng.random((600, 1)) < 0.5)
+    if kind in ("unit", "near"):
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "large":
+        v *= 3e6
+    ids = np.where(np.arange(600) % 50 == 0, 40, np.arange(600))
+    df = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in zip(ids, v)], "vec_id long, embedding array<double>").repartition(5)
+    got = topk.top_k(df, F.col("vec_id") % 5 == 0, k=7, bucket_rows=8, query_rows=4, held_queries=16).collect()
+    m, want = np.floor(64 * v).astype(int), []
+    for i, q in zip(ids, m):
+        if i % 5 == 0:
+            s, ok = m @ q, ids != i
+            order = np.lexsort((ids[ok], -s[ok]))[:7]
+            want += [(int(i), r + 1, int(ids[ok][o]), int(s[ok][o])) for r, o in enumerate(order)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_top_k_brings_nothing_of_each_bucket_to_the_driver(spark, monkeypatch):
+    """Neither rows nor plans in the driver grow with the number of buckets."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rng.normal(size=(640, 4)))], "vec_id long, embedding array<double>")
+    brought, collect = [], type(df).collect
+
+    def counted(self):
+        brought.append(len(rows := collect(self)))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    plans = [len(topk.top_k(df, F.col("vec_id") % 20 == 0, bucket_rows=rows)._jdf.queryExecution().optimizedPlan().toString()) for rows in (32, 2)]
+    assert max(brought) == 1
+    assert plans[1] < plans[0] + 200
+
+
 def test_top_k_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<double>")
     got = topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
