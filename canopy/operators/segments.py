@@ -120,7 +120,7 @@ def merge(spark: SparkSession, root: str, fan: int = FAN) -> None:
         tiers: dict[int, list] = {}
         for r in rows:
             if r.docs is not None:  # a replaced segment stays listed only for its tombstones
-                tiers.setdefault(int(math.log(r.docs + 1, fan)), []).append(r)
+                tiers.setdefault(int(math.log(max(r.docs, 1), fan)), []).append(r)
         full = [t for t in tiers.values() if len(t) >= fan]
         if not full:
             return
