@@ -123,11 +123,12 @@ class Asked:
 
     def settle(self) -> None:
         """Only the k best of each query stay, and the last of k is its floor."""
-        rows, ids, scores = map(np.concatenate, zip(*self.found))
-        order = np.lexsort((ids, -scores, rows))
+        parts, self.found = list(zip(*self.found)), []
+        rows, ids, scores = (np.concatenate(parts.pop(0)) for _ in range(3))  # each part is let go as it is copied
+        order = np.lexsort((ids, np.negative(scores, out=scores), rows))
         starts = np.searchsorted(rows[order], np.arange(len(self.ids) + 1, dtype=np.int32))
         order = order[np.arange(len(order)) - starts[rows[order]] < self.k]
-        self.found, self.waiting = [(rows[order], ids[order], scores[order])], 0
+        self.found, self.waiting = [(rows[order], ids[order], -scores[order])], 0
         ends = np.searchsorted(self.found[0][0], np.arange(len(self.ids), dtype=np.int32), side="right")
         full = np.flatnonzero(np.diff(ends, prepend=0) == self.k)
         self.low[full] = np.maximum(self.low[full], self.found[0][2][ends[full] - 1])
